@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dimspark.llm.linededup import OP3_SQL, op3_line_dedup
 from dimspark.llm.media import op7_media_columns
+from dimspark.llm.quality import op2_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op3_line_dedup": op3_line_dedup,
         "op7_media_columns": op7_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
