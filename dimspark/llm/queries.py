@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dimspark.llm.linededup import OP3_SQL, op3_line_dedup
 from dimspark.llm.media import op7_media_columns
+from dimspark.llm.packing import op1_packing
 from dimspark.llm.quality import op2_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
         "op7_media_columns": op7_media_columns,
