@@ -1,4 +1,4 @@
-"""Token ids of texts by a public byte-level tokenizer, with a cache of words."""
+"""Token ids of texts by a public byte-level tokenizer."""
 
 from __future__ import annotations
 
@@ -7,34 +7,15 @@ import re
 
 import numpy as np
 
-#: A blank beside another: words around it are not tokenized apart.
-_UNSAFE = re.compile(r"\s\s")
 #: Texts of these characters alone give the same ids by either library.
 _PLAIN = re.compile(r"[\n\x20-\x7e¡-¬®-ÿ]*")
-#: Words held in the cache of one worker.
-CACHE_WORDS = 400_000
-
 _loaded: dict[tuple[str, str | None], ByteTokens] = {}
 
 
-class _Words(dict):
-    """Ids, as little-endian 32-bit bytes, of words that a blank or a line end leads."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        made = self[word] = self.encode(word if word[:1] == "\n" else " " + word)
-        return made
-
-
 class ByteTokens:
     """The ids that `tokenizers` gives with the file at path.
 
-    ranks_path: the same vocabulary as ranks; plain words then take the faster library.
+    ranks_path: the same vocabulary as ranks; plain texts then take the faster library.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
@@ -50,7 +31,6 @@ class ByteTokens:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = _Words(self.whole)
         names = self.slow.get_vocab(with_added_tokens=True)
         size = max(names.values()) + 1
         self.ends, self.leads = np.zeros(size, bool), np.zeros(size, bool)
@@ -58,19 +38,12 @@ class ByteTokens:
             self.ends[i] = "Ċ" in name or name.rstrip("\"')]}»”").endswith((".", "!", "?"))
             self.leads[i] = name[0] in "ĠĊ"
 
-    def whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit bytes."""
         if self.fast is not None and _PLAIN.fullmatch(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit bytes."""
-        if _UNSAFE.search(text):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        head = self.whole(first) if first else b""
-        return head + b"".join(map(self.words.__getitem__, rest))
-
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Whether a sentence ends after each id: at its mark, if a blank or the end follows."""
         found = self.ends[ids]
