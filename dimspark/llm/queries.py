@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dimspark.llm.linededup import OP3_SQL, op3_line_dedup
 from dimspark.llm.media import op7_media_columns
+from dimspark.llm.mixing import op4_mixing
 from dimspark.llm.packing import op1_packing
 from dimspark.llm.quality import op2_quality_rules
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
+        "op4_mixing": op4_mixing,
         "op7_media_columns": op7_media_columns,
     }
 
