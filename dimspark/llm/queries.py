@@ -11,6 +11,7 @@ from dimspark.llm.media import op7_media_columns
 from dimspark.llm.mixing import op4_mixing
 from dimspark.llm.packing import op1_packing
 from dimspark.llm.quality import op2_quality_rules
+from dimspark.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
         "op7_media_columns": op7_media_columns,
+        "op9_toxicity": op9_toxicity,
     }
 
 
