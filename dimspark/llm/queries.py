@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dimspark.llm.linededup import OP3_SQL, op3_line_dedup
 from dimspark.llm.media import op7_media_columns
 from dimspark.llm.mixing import op4_mixing
+from dimspark.llm.ngram_join import op6_ngram_jaccard_join
 from dimspark.llm.packing import op1_packing
 from dimspark.llm.quality import op2_quality_rules
 from dimspark.llm.toxicity import op9_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_media_columns": op7_media_columns,
         "op9_toxicity": op9_toxicity,
     }
