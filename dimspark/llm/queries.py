@@ -14,6 +14,7 @@ from dimspark.llm.ngram_join import op6_ngram_jaccard_join
 from dimspark.llm.packing import op1_packing
 from dimspark.llm.quality import op2_quality_rules
 from dimspark.llm.secrets import op5_secret_scans
+from dimspark.llm.sharding import op10_sharding
 from dimspark.llm.toxicity import op9_toxicity
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_columns": op7_media_columns,
         "op8_license_scans": op8_license_scans,
         "op9_toxicity": op9_toxicity,
+        "op10_sharding": op10_sharding,
     }
 
 
