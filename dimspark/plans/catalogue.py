@@ -1,6 +1,421 @@
-"""The registered queries of the unit layer and the SQL that states each of them."""
+"""The registered queries of the unit layer and the SQL that states each of them.
+
+Sums that are compared exactly are sums of decimals: doubles would depend on the partitioning.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dimspark.functions import bulk, scalar
+from dimspark.functions.expr import q
+from dimspark.operators import aggregates as A
+from dimspark.operators.frame import UnitFrame
+from dimspark.streaming import windows
+from dimspark.units import default_registry
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def frame(spark: SparkSession, sf_dir: str, table: str, mode: str = "permissive", **units: str) -> UnitFrame:
+    return UnitFrame.of(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"), mode=mode).tag(units)
+
+
+def events(spark: SparkSession, sf_dir: str, unit: str) -> UnitFrame:
+    return frame(spark, sf_dir, "events", value=unit)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> UnitFrame:
+    return frame(spark, sf_dir, "lineitem", l_quantity="lb", l_extendedprice="USD", l_discount="1", l_tax="1")
+
+
+def hourly_power(spark: SparkSession, sf_dir: str) -> UnitFrame:
+    return frame(spark, sf_dir, "events").tag_temporal("value", "MW", "interval", "mean", "PT1H", "core:power")
+
+
+# --- conversion ---------------------------------------------------------------
+
+
+def _conversion(name: str, source: str, target: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        u = events(spark, sf_dir, source)
+        return u.select("event_id", converted=u["value"].to(target)).df
+
+    run.__name__ = name
+    query(f"SELECT event_id, {sql} AS converted FROM events")(run)
+
+
+_conversion("convert_integer_factor", "MW", "kW", "value * 1000")
+_conversion("convert_divisor", "kW", "MW", "value / 1000")
+_conversion("convert_rational", "Btu", "J", "value * 52752792631 / 50000000")
+_conversion("convert_affine_fahrenheit", "degC", "degF", "(value * 9 / 5) + 32")
+_conversion("convert_affine_kelvin", "degC", "K", "value + 5463.0 / 20")
+_conversion("convert_delta", "delta_degC", "delta_degF", "value * 9 / 5")
+_conversion("convert_pi", "deg", "rad", "value * pi() / 180")
+_conversion("convert_compound", "MW*h", "Btu", "value * 180000000000000000 / 52752792631")
+_conversion("convert_speed", "mi/h", "m/s", "value * 1397 / 3125")
+_conversion("convert_identity", "MW", "MW", "value")
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) * 381 / 1250 AS size_m FROM part")
+def int_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = frame(spark, sf_dir, "part", p_size="ft")
+    return u.select("p_partkey", size_m=u["p_size"].to("m")).df
+
+
+@query("SELECT p_partkey, CAST(p_size * 100 AS INTEGER) AS size_cm FROM part")
+def int_preserve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = frame(spark, sf_dir, "part", p_size="m")
+    return u.select("p_partkey", size_cm=u["p_size"].to("cm", policy="preserve")).df
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 1000 AS first_mm FROM embeddings")
+def array_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = frame(spark, sf_dir, "embeddings", embedding="m")
+    made = u.select("vec_id", mm=scalar.elements(u["embedding"], "mm"))
+    return made.df.select("vec_id", F.element_at("mm", 1).alias("first_mm"))
+
+
+# --- arithmetic -----------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def mul_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.select("l_orderkey", "l_linenumber", net=u["l_extendedprice"] * (1 - u["l_discount"])).df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price_per_lb FROM lineitem")
+def div_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.select("l_orderkey", "l_linenumber", price_per_lb=u["l_extendedprice"] / u["l_quantity"]).df
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio FROM lineitem")
+def try_div_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.select("l_orderkey", "l_linenumber", ratio=u["l_tax"].try_divide(u["l_discount"])).df
+
+
+@query("SELECT event_id, value + (value * 2) / 1000 AS total FROM events")
+def add_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "MW").with_columns(small=events(spark, sf_dir, "kW")["value"] * 2)
+    return u.select("event_id", total=u["value"] + u["small"]).df
+
+
+@query("SELECT event_id, value - (value * 2) / 1000 AS total FROM events")
+def sub_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "MW").with_columns(small=events(spark, sf_dir, "kW")["value"] * 2)
+    return u.select("event_id", total=u["value"] - u["small"]).df
+
+
+@query("SELECT event_id, value FROM events WHERE value > 100")
+def compare_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "MW")
+    return u.filter(u["value"] > q(100_000, "kW")).select("event_id", "value").df
+
+
+@query("SELECT event_id, value FROM events WHERE value >= 50 AND value <= 60")
+def compare_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "degC")
+    return u.filter(u["value"].between(q(122, "degF"), q(140, "degF"))).select("event_id", "value").df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount * 100 AS discount_mva FROM lineitem")
+def pu_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = frame(spark, sf_dir, "lineitem").tag_base("l_discount", "pu", 100, "MVA")
+    return u.select("l_orderkey", "l_linenumber", discount_mva=u["l_discount"].physical()).df
+
+
+@query("SELECT event_id, sqrt(value * value) AS root, value * value AS square, abs(value - 100) AS off, greatest(value, 50) AS top FROM events")
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "m")
+    v = u["value"]
+    return u.select("event_id", root=scalar.sqrt(v * v), square=v**2, off=scalar.abs_(v - q(100, "m")), top=scalar.greatest(v, q(50, "m"))).df
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN value ELSE value * 1000 END AS power FROM events")
+def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "kW")
+    megawatts = events(spark, sf_dir, "MW")["value"]
+    return u.select("event_id", power=scalar.when(F.col("event_type") == "error", u["value"], megawatts)).df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS weight_lb FROM lineitem WHERE l_quantity < 10")
+def project_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.filter(u["l_quantity"] < q(160, "oz")).rename({"l_quantity": "weight_lb"}).select("l_orderkey", "l_linenumber", "weight_lb").df
+
+
+# --- time -------------------------------------------------------------------------
+
+
+@query("SELECT event_type, CAST(sum(CAST(value AS DECIMAL(18,2)) * 1000) AS DOUBLE) AS energy_kwh FROM events GROUP BY event_type")
+def integrate_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = hourly_power(spark, sf_dir)
+    u = u.select("event_type", energy=u["value"].integrate().to("kWh"))
+    return u.group_by("event_type").agg(energy_kwh=A.sum_(u["energy"], exact_scale=2)).df
+
+
+@query("SELECT event_id, value / 1 AS mean_mw FROM events")
+def differentiate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = frame(spark, sf_dir, "events").tag_temporal("value", "MWh", "interval", "sum", "PT1H", "core:energy")
+    return u.select("event_id", mean_mw=u["value"].differentiate().to("MW")).df
+
+
+# --- aggregates -----------------------------------------------------------------------
+
+_SUM = "CAST(sum(CAST({} AS DECIMAL(28,2))) AS DOUBLE)"
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_quantity')} AS sum_lb, {_SUM.format('l_extendedprice')} AS sum_usd, min(l_quantity) AS least_lb, max(l_extendedprice) AS most_usd, {_SUM.format('l_quantity')} / count(l_quantity) AS mean_lb, count(*) AS n FROM lineitem GROUP BY ALL")
+def agg_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.group_by("l_returnflag", "l_linestatus").agg(sum_lb=A.sum_(u["l_quantity"], 2), sum_usd=A.sum_(u["l_extendedprice"], 2), least_lb=A.min_(u["l_quantity"]), most_usd=A.max_(u["l_extendedprice"]), mean_lb=A.exact_mean(u["l_quantity"], 2), n=A.count(u["l_quantity"])).df
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_quantity) AS different FROM lineitem GROUP BY l_returnflag")
+def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.group_by("l_returnflag").agg(different=A.count_distinct(u["l_quantity"])).df
+
+
+@query("SELECT event_type, median(value) AS middle, quantile_cont(value, 0.5) AS half FROM events GROUP BY event_type")
+def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "degC")
+    return u.group_by("event_type").agg(middle=A.median(u["value"]), half=A.percentile(u["value"], 0.5)).df
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_quantity')} AS sum_lb FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def agg_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.rollup("l_returnflag", "l_linestatus").agg(sum_lb=A.sum_(u["l_quantity"], 2)).df
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_quantity')} AS sum_lb FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def agg_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.cube("l_returnflag", "l_linestatus").agg(sum_lb=A.sum_(u["l_quantity"], 2)).df
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {_SUM.format('l_quantity')} AS sum_lb FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir)
+    return u.grouping_sets([["l_returnflag"], ["l_linestatus"]], "l_returnflag", "l_linestatus").agg(sum_lb=A.sum_(u["l_quantity"], 2)).df
+
+
+@query("SELECT event_type, max(value) * 9 / 5 + 32 AS hottest FROM events GROUP BY event_type")
+def agg_then_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maximum needs one conversion for each group, not for each row."""
+    u = events(spark, sf_dir, "degC")
+    u = u.group_by("event_type").agg(hottest=A.max_(u["value"]))
+    return u.convert({"hottest": "degF"}).df
+
+
+# --- windows and order ----------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(28,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running FROM events")
+def window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "USD")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = A.Aggregate("sum", u["value"], lambda: F.sum(F.col("value").cast("decimal(28,2)")), u["value"]).over(w)
+    return u.select("event_id", running=running).df.withColumn("running", F.col("running").cast("double"))
+
+
+@query("SELECT event_id, (value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 9 / 5 AS change_f FROM events")
+def window_lag_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "degC")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return u.select("event_id", change_f=A.change(u["value"], w).to("delta_degF")).df
+
+
+@query("SELECT event_id, CAST(rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS INTEGER) AS place FROM events")
+def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "MW")
+    return u.select("event_id", place=A.RANKS["rank"]().over(Window.partitionBy("event_type").orderBy(F.col("value").desc()))).df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return u.order_by(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(10).df
+
+
+# --- two frames ------------------------------------------------------------------------
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> UnitFrame:
+    return frame(spark, sf_dir, "orders", o_totalprice="USD")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> UnitFrame:
+    return frame(spark, sf_dir, "customer", c_acctbal="USD")
+
+
+def _join(name: str, how: str, select: list[str], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        left, right = _customers(spark, sf_dir), _orders(spark, sf_dir).filter(F.col("o_orderstatus") == "F")
+        return left.join(right, [("c_custkey", "o_custkey")], how).select(*select).df
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_ORDERS_F = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
+_join("join_inner", "inner", ["c_custkey", "o_orderkey", "c_acctbal", "o_totalprice"], f"SELECT c_custkey, o_orderkey, c_acctbal, o_totalprice FROM customer JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_left", "left", ["c_custkey", "o_orderkey", "o_totalprice"], f"SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_full", "full", ["c_custkey", "o_orderkey"], f"SELECT c_custkey, o_orderkey FROM customer FULL JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_semi", "left_semi", ["c_custkey", "c_acctbal"], f"SELECT c_custkey, c_acctbal FROM customer SEMI JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_anti", "left_anti", ["c_custkey", "c_acctbal"], f"SELECT c_custkey, c_acctbal FROM customer ANTI JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+
+
+@query("SELECT n_name, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(28,2))) AS DOUBLE) * 45359237 / 100000000 AS kilograms FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def join_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight shipped to each nation: summed in pounds, converted once for each group."""
+    u = lines(spark, sf_dir).join(_orders(spark, sf_dir), [("l_orderkey", "o_orderkey")]).join(_customers(spark, sf_dir), [("o_custkey", "c_custkey")]).join(frame(spark, sf_dir, "nation"), [("c_nationkey", "n_nationkey")])
+    return u.group_by("n_name").agg(n=A.count(), kilograms=A.sum_(u["l_quantity"], 2)).convert({"kilograms": "kg"}).df
+
+
+@query("SELECT event_id, s_suppkey FROM events JOIN supplier ON value * 1000 >= s_acctbal AND value * 1000 < s_acctbal + 500 WHERE event_id < 2000")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = UnitFrame.of(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 2000").select("event_id", F.col("value"))).tag({"value": "km"})
+    right = UnitFrame.of(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 500).alias("high"))).tag({"low": "m", "high": "m"})
+    return left.convert({"value": "m"}).range_join(right, "value", "low", "high", 1000.0).select("event_id", "s_suppkey").df
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts AS c_ts, value AS c_value, event_id AS c_id FROM events WHERE event_type = 'click')
+SELECT event_id, (SELECT max(c_ts) FROM c WHERE c.user_id = e.user_id AND c_ts <= e.ts) AS click_ts FROM e""")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = events(spark, sf_dir, "USD")
+    left = u.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
+    right = u.filter(F.col("event_type") == "click").rename({"ts": "click_ts", "value": "click_value"}).select("user_id", "click_ts", "click_value")
+    return left.asof_join(right, ["user_id"], "ts", "click_ts", ["click_ts"]).select("event_id", "click_ts").df
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "region").select("r_name").cross_join(frame(spark, sf_dir, "nation").select("n_name")).df
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_acctbal / 100 FROM supplier")
+def union_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = frame(spark, sf_dir, "customer", c_acctbal="USD").rename({"c_custkey": "id", "c_acctbal": "balance"}).select("id", "balance")
+    right = frame(spark, sf_dir, "supplier", s_acctbal="cent_us").rename({"s_suppkey": "id", "s_acctbal": "balance"}).select("id", "balance")
+    return left.union(right).df
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "customer").rename({"c_nationkey": "nation"}).select("nation").intersect(frame(spark, sf_dir, "supplier").rename({"s_nationkey": "nation"}).select("nation")).df
+
+
+@query("SELECT l_extendedprice AS price FROM lineitem EXCEPT SELECT l_extendedprice FROM lineitem WHERE l_returnflag = 'R'")
+def except_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = lines(spark, sf_dir).rename({"l_extendedprice": "price"})
+    return u.select("price").except_(u.filter(F.col("l_returnflag") == "R").select("price")).df
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(value) AS most FROM events GROUP BY event_type")
+def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = events(spark, sf_dir, "MW").sql("SELECT event_type, count(*) AS n, max(value) AS most FROM {frame} GROUP BY event_type")
+    return out.df
+
+
+# --- units as data ------------------------------------------------------------------------
+
+_NAMES = ("MW*hr", "kilowatts", "W/m^2/K", "degC", "Zorkmid", "m s", "degC*h", "MW*h/MWh", "MBtu")
+
+
+@query("""SELECT * FROM (VALUES ('MW*hr', 'MW*h', NULL), ('kilowatts', 'kW', NULL), ('W/m^2/K', 'W*K^-1*m^-2', NULL), ('degC', 'degC', NULL), ('Zorkmid', NULL, 'E_UNKNOWN_UNIT'),
+('m s', NULL, 'E_UNIT_SYNTAX'), ('degC*h', NULL, 'E_AFFINE_COMPOUND'), ('MW*h/MWh', 'MW*h*MWh^-1', NULL), ('MBtu', NULL, 'E_UNKNOWN_UNIT')) t(unit, canonical, code)""")
+def unit_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame([(n,) for n in _NAMES], "unit string")
+    return bulk.unit_info(texts, "unit", default_registry()).select("unit", "canonical", "code")
+
+
+@query("""SELECT * FROM (VALUES ('MEGAWATT', 'megawatt', 1), ('MEGAWATT', 'megawatts', 2), ('MEGAWATT', 'megabar', 3)) t(unit, suggestion, rank) WHERE rank <= 2""")
+def suggest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame([("MEGAWATT",)], "unit string")
+    return bulk.suggest_units(texts, "unit", default_registry(), top=2).select("unit", "suggestion", "rank")
+
+
+@query("SELECT event_id, value * CASE event_type WHEN 'click' THEN 1000.0 WHEN 'error' THEN 1.0 WHEN 'view' THEN 1000000.0 END AS watts FROM events")
+def convert_by_unit_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.create_map(*[F.lit(x) for x in ("click", "kW", "error", "W", "view", "MW", "purchase", "degC", "signup", "m")])[F.col("event_type")]
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("unit", unit)
+    return bulk.convert_by_unit_column(df, "value", "unit", "W", default_registry(), "watts").select("event_id", "watts")
+
+
+@query("""SELECT * FROM (VALUES ('area', 'length^2'), ('energy', 'length^2·mass·time^-2'), ('frequency', 'time^-1'), ('power', 'length^2·mass·time^-3'), ('dimensionless', 'dimensionless')) t(name, text)""")
+def registry_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return default_registry().dimensions_df(spark).where(F.col("name").isin("area", "energy", "frequency", "power", "dimensionless")).select("name", "text")
+
+
+@query("""SELECT * FROM (VALUES ('MWh', '3600000000', '1', 0), ('km', '1000', '1', 0), ('Btu', '52752792631', '50000000', 0), ('deg', '1', '180', 1), ('kg', '1', '1', 0)) t(symbol, numerator, denominator, pi)""")
+def registry_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return default_registry().units_df(spark).where(F.col("symbol").isin("MWh", "km", "Btu", "deg", "kg")).select("symbol", "numerator", "denominator", "pi")
+
+
+# --- streams -------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, windowed: Callable[[UnitFrame], DataFrame]) -> DataFrame:
+    """The result of a query over the events as a stream of files, read to its end.
+
+    The query writes Parquet under the shared checkpoint folder: nothing stays on one machine.
+    """
+    import uuid
+
+    from dimspark.sources.storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = windows.read_stream(spark, f"{sf_dir}/events*.parquet", schema)
+    u = UnitFrame.of(stream).tag_temporal("value", "MW", "interval", "mean", "PT1H")
+    made = windowed(windows.with_event_time(u, "ts", "1 hour"))
+    made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+@query()
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def windowed(u: UnitFrame) -> DataFrame:
+        made = windows.tumbling(u, "ts", "1 day", "event_type").agg(most=A.max_(u["value"]), n=A.count())
+        return made.df.select(F.col("window.start").alias("day"), "event_type", "most", "n")
+
+    return _streamed(spark, sf_dir, windowed)
+
+
+@query()
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def windowed(u: UnitFrame) -> DataFrame:
+        made = windows.sliding(u, "ts", "1 day", "12 hours", "event_type").agg(most=A.max_(u["value"]))
+        return made.df.select(F.col("window.start").alias("begins"), "event_type", "most")
+
+    return _streamed(spark, sf_dir, windowed)
+
+
+@query()
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def windowed(u: UnitFrame) -> DataFrame:
+        made = windows.session(u, "ts", "1 hour", "event_type").agg(n=A.count(u["value"]))
+        return made.df.select(F.col("window.start").alias("begins"), "event_type", "n")
+
+    return _streamed(spark, sf_dir, windowed)
