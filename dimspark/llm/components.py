@@ -12,16 +12,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of edges (a, b); a component is named by its least node.
 
     Each round writes its edges to the shared checkpoint folder; a round is a minimum for
-    each node, combined before the shuffle, and an equi-join. Loops and repeats of an edge
+    each node, combined before the shuffle, and an equi-join. The minima are dealt anew before
+    the join, so that adaptive execution can split the many edges of one node. Loops and repeats of an edge
     change nothing; null nodes are passed over; no edges give no rows.
     """
     now = settle(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = settle(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         now = settle(large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
