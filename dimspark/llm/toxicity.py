@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
                 held.append((np.unique(at[at > 0]) - 1).astype("<i4").tobytes())
             yield pd.DataFrame({"toxic": part["toxic"].astype("int32"), "at": held})
 
-    rows = sample.mapInPandas(present, "toxic int, at binary").orderBy("toxic", "at").collect()
+    rows = sample.mapInPandas(present, "toxic int, at binary").collect()
+    rows.sort(key=lambda r: (r["toxic"], bytes(r["at"])))
     weights, intercept = fit_weights([np.frombuffer(bytes(r["at"]), "<i4").astype(np.int64) for r in rows], np.array([r["toxic"] for r in rows], float), ratios)
     return Classifier(features, weights, intercept)
 
