@@ -249,6 +249,10 @@ class Registry:
     def from_path(cls, path: str | Path) -> Registry:
         return cls(Path(path).read_text(encoding="utf-8"))
 
+    def __reduce__(self):
+        """Sent as its text, and loaded again where it arrives."""
+        return Registry, (self.source,)
+
     # loading -------------------------------------------------------------
 
     def _head(self, doc: dict) -> None:
