@@ -4,8 +4,8 @@ Documents of equal text are linked through hubs, one for each group, or several
 above a shard's capacity (each for an even part of it, by a hash of the row). Labels are
 shards. Documents begin at a hashed shard; in each round every hub without a place takes
 the label that most of its documents, and of the placed hubs of its group, hold among the
-shards with room. Under a quota for each shard, larger hubs come first; those that don't fit
-propagate again, towards other shards. Then every hub's documents move to its label. The
+shards with room for it. Under a quota for each shard, larger hubs come first; those that don't
+fit propagate again, towards other shards. Then every hub's documents move to its label. The
 other documents fill the shards to even counts: a shard keeps its first rows, linked ones
 first, and hands the rest, one by one, to the shards that lack rows.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from dimspark.llm.common import read_table, settle
 
-N_SHARDS, ROUNDS = 40, 6
+N_SHARDS, ROUNDS = 40, 8
 #: Rows of a shard that are ranked in one part, about.
 PART_ROWS = 5_000
 #: Parts of the hubs of a size class that are accepted or left together.
@@ -42,7 +42,8 @@ def linked_members(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     capacity = max(1, total // n_shards)
     groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.when(F.col("n") <= capacity, 1).otherwise(F.ceil(2 * F.col("n") / capacity)).cast("int")
-    joined = rows.join(groups.select("grp", parts.alias("parts")), "grp", "left").withColumn("mark", F.xxhash64("doc_id", "grp"))
+    groups = groups.select("grp", parts.alias("parts")).hint("rebalance")  # dealt anew, so that the rows of one group can be split in the join
+    joined = rows.join(groups, "grp", "left").withColumn("mark", F.xxhash64("doc_id", "grp"))
     return settle(joined.withColumns({"hub": F.pmod("mark", F.col("parts")).cast("int"), "label": F.pmod(F.xxhash64("mark"), F.lit(n_shards)).cast("int")})), total
 
 
@@ -53,14 +54,16 @@ def propagate(members: DataFrame, total: int, n_shards: int, rounds: int = ROUND
     placed = waiting.select("*", F.lit(0).alias("label")).limit(0)
     room = dict.fromkeys(range(n_shards), total // n_shards)
     for turn in range(rounds):
-        free = [s for s, n in room.items() if n > 0]
-        if not free or waiting.isEmpty():
+        if not any(room.values()) or waiting.isEmpty():
             break
-        own = waiting.join(votes.select("grp", "hub", "label", "votes"), ["grp", "hub"]).select("grp", "hub", "label", "votes")
-        siblings = placed.where("parts > 1").groupBy("grp", "label").agg(F.sum("size").alias("votes")).join(waiting.where("parts > 1").select("grp", "hub"), "grp").select("grp", "hub", "label", "votes")
-        heard = own.unionByName(siblings).where(F.col("label").isin(free)).groupBy("grp", "hub", "label").agg(F.sum("votes").alias("votes"))
+        rooms = F.array(*[F.struct(F.lit(s).alias("label"), F.lit(n).alias("room")) for s, n in room.items()])
+        has_room = F.element_at(rooms, F.col("label") + 1)["room"] >= F.col("size")
+        own = waiting.join(votes.select("grp", "hub", "label", "votes"), ["grp", "hub"]).select("grp", "hub", "size", "label", "votes")
+        siblings = placed.where("parts > 1").groupBy("grp", "label").agg(F.sum("size").alias("votes")).join(waiting.where("parts > 1").select("grp", "hub", "size"), "grp").select("grp", "hub", "size", "label", "votes")
+        heard = own.unionByName(siblings).where(has_room).groupBy("grp", "hub", "label").agg(F.sum("votes").alias("votes"))
         best = heard.groupBy("grp", "hub").agg(F.max(F.struct("votes", F.xxhash64("grp", "hub", "label").alias("tie"), "label"))["label"].alias("best"))
-        anywhere = F.element_at(F.array(*[F.lit(s) for s in free]), (F.pmod(F.xxhash64("grp", "hub", F.lit(turn)), F.lit(len(free))) + 1).cast("int"))
+        roomy = F.filter(rooms, lambda r: r["room"] >= F.col("size"))
+        anywhere = F.get(roomy, F.pmod(F.xxhash64("grp", "hub", F.lit(turn)), F.greatest(F.size(roomy), F.lit(1))).cast("int"))["label"]
         wishes = waiting.join(best, ["grp", "hub"], "left").select("grp", "hub", "parts", "size", F.coalesce("best", anywhere).alias("label"), (F.floor(F.log2("size")) * -LOTS - F.pmod(F.xxhash64("grp", "hub"), F.lit(LOTS))).cast("int").alias("lot"))
         wishes = settle(wishes)
         sums = wishes.groupBy("label", "lot").agg(F.sum("size").alias("size"))
@@ -69,7 +72,7 @@ def propagate(members: DataFrame, total: int, n_shards: int, rounds: int = ROUND
         fits = settle(sums.withColumn("reached", reached).where(F.col("reached") <= limit).select("label", "lot", "size"))
         for r in fits.groupBy("label").agg(F.sum("size").alias("n")).collect():
             room[r["label"]] -= int(r["n"])
-        judged = settle(wishes.join(fits.select("label", "lot", F.lit(True).alias("fits")), ["label", "lot"], "left"))
+        judged = settle(wishes.join(fits.select("label", "lot", F.lit(True).alias("fits")), ["label", "lot"], "left"))  # without a label: none has room
         placed = settle(placed.unionByName(judged.where("fits").select("grp", "hub", "parts", "size", "label")))
         waiting = judged.where("fits is null").select("grp", "hub", "parts", "size")
     return placed.select("grp", "hub", "label")
