@@ -23,6 +23,8 @@ from dimspark.units.exact import as_float
 from dimspark.units.registry import CanonicalUnit, Conversion, Registry
 
 STRICT, PERMISSIVE, UNTRACKED = "strict", "permissive", "untracked"
+#: Fixed value: pi for engines without a function of it.
+PI_TEXT = "3.141592653589793238462643383279502884197169399375"
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -85,6 +87,10 @@ class UExpr:
     def metadata(self) -> Metadata | None:
         return Metadata(self.unit, quantity=self.quantity, base=self.base, temporal=self.temporal) if self.unit_ else None
 
+    def text(self, has_pi: bool = True) -> str:
+        """The SQL text, for an audit or another engine; without a function of pi, its digits stand for it."""
+        return self.sql if has_pi else self.sql.replace("pi()", PI_TEXT)
+
     def __repr__(self) -> str:
         return f"<{self.sql} :: {self.unit or 'untagged'}>"
 

@@ -203,3 +203,11 @@ def test_periods():
     for period in ("P1M", "P1Y", "P", "1H"):
         with pytest.raises(UnitError, match="E_TEMPORAL_MISMATCH"):
             period_seconds(period)
+
+
+def test_command_line(capsys):
+    from dimspark.__main__ import main
+
+    assert main(["canonicalize", "MW*hr"]) == 0 and capsys.readouterr().out == "MW*h\n"
+    assert main(["convert", "degC", "degF", "25"]) == 0 and capsys.readouterr().out == "77.0\n"
+    assert main(["dimension", "Zorkmid"]) == 1 and "E_UNKNOWN_UNIT" in capsys.readouterr().err
