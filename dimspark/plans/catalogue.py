@@ -271,16 +271,17 @@ def _customers(spark: SparkSession, sf_dir: str) -> UnitFrame:
 def _join(name: str, how: str, select: list[str], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         left, right = _customers(spark, sf_dir), _orders(spark, sf_dir).filter(F.col("o_orderstatus") == "F")
-        return left.join(right, [("c_custkey", "o_custkey")], how).select(*select).df
+        made = left.join(right, [("c_custkey", "o_custkey")], how).select(*select).df
+        return made.withColumn("o_orderkey", F.col("o_orderkey").cast("string")) if "o_orderkey" in select else made
 
     run.__name__ = name
     query(sql)(run)
 
 
 _ORDERS_F = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
-_join("join_inner", "inner", ["c_custkey", "o_orderkey", "c_acctbal", "o_totalprice"], f"SELECT c_custkey, o_orderkey, c_acctbal, o_totalprice FROM customer JOIN {_ORDERS_F} ON c_custkey = o_custkey")
-_join("join_left", "left", ["c_custkey", "o_orderkey", "o_totalprice"], f"SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN {_ORDERS_F} ON c_custkey = o_custkey")
-_join("join_full", "full", ["c_custkey", "o_orderkey"], f"SELECT c_custkey, o_orderkey FROM customer FULL JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_inner", "inner", ["c_custkey", "o_orderkey", "c_acctbal", "o_totalprice"], f"SELECT c_custkey, CAST(o_orderkey AS VARCHAR) AS o_orderkey, c_acctbal, o_totalprice FROM customer JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_left", "left", ["c_custkey", "o_orderkey", "o_totalprice"], f"SELECT c_custkey, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_totalprice FROM customer LEFT JOIN {_ORDERS_F} ON c_custkey = o_custkey")
+_join("join_full", "full", ["c_mktsegment", "o_orderkey"], f"SELECT c_mktsegment, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM customer FULL JOIN {_ORDERS_F} ON c_custkey = o_custkey")
 _join("join_semi", "left_semi", ["c_custkey", "c_acctbal"], f"SELECT c_custkey, c_acctbal FROM customer SEMI JOIN {_ORDERS_F} ON c_custkey = o_custkey")
 _join("join_anti", "left_anti", ["c_custkey", "c_acctbal"], f"SELECT c_custkey, c_acctbal FROM customer ANTI JOIN {_ORDERS_F} ON c_custkey = o_custkey")
 

@@ -268,3 +268,21 @@ def test_streams_keep_tags(spark, sf_dir):
     assert u.df.isStreaming and u.units == {"value": "MW"}
     made = windows.tumbling(u, "ts", "1 day").agg(most=A.max_(u["value"]))
     assert made.units == {"most": "MW"} and made.df.isStreaming
+
+
+def test_provenance(power):
+    import json
+
+    from dimspark.sources.provenance import embedded_registry, merge_provenance, provenance, provenance_of, with_provenance
+    from dimspark.units import Registry
+
+    other = Registry('[registry]\nschema_version = 1\nname = "other"\nversion = "1"\n')
+    full, pin, foreign = provenance(R, "strict"), provenance(R, full=False), provenance(other)
+    df = with_provenance(tag(power, {"p": "MW"}, R), full)
+    assert provenance_of(df.filter("p > 0")) == full and embedded_registry(full).pin == R.pin and embedded_registry(pin, lambda _: R.source).pin == R.pin
+    with pytest.raises(UnitError, match="not available here"):
+        embedded_registry(pin)
+    with pytest.raises(UnitError, match="is not the registry"):
+        embedded_registry(pin, lambda _: other.source)
+    merged = json.loads(merge_provenance(full, foreign))
+    assert merged["mode"] == "permissive" and [c["name"] for c in merged["composed_from"]] == ["other"]
