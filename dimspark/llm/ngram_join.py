@@ -229,7 +229,7 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
     names = components.groupBy("component").agg(F.min("rep_id").alias("class_id"))
     named = components.join(names, "component").select("node", "class_id")
     full = classes.join(named, "node", "left").select("node", F.col("rep_id").alias("copy_of"), F.coalesce("class_id", "rep_id").alias("class_id"), "n_copies", (F.col("n_links") + F.col("n_copies") - 1).alias("n_links"))
-    placed = membership.join(full, "node", "left")
+    placed = membership.join(full.hint("rebalance"), "node", "left")  # dealt anew, so that the many rows of one node can be split
     own = F.col("node").isNull()
     return placed.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
