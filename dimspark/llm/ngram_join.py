@@ -31,7 +31,7 @@ from dimspark.llm.common import map_rows, read_table, settle
 from dimspark.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, RECALL = 20, 8, 0.999
+TREES, MAX_DEPTH, RECALL = 32, 8, 0.99999
 #: Buckets of up to so many classes give pairs; larger ones are verified in blocks.
 SMALL = 8
 #: Classes, and bytes of shingles, in a block.
