@@ -264,10 +264,13 @@ class UnitFrame:
         self._meet(other)
         return replace(self._next(out, "join", how="range"), context=self._merged(other))
 
-    def asof_join(self, other: UnitFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> UnitFrame:
+    def asof_join(self, other: UnitFrame, by: list[str], left_on: str, right_on: str, columns: list[str], bin_width: float | None = None) -> UnitFrame:
         """For each row the other side's latest row of the same keys that is not later.
 
-        One shuffle by the keys: both sides in one stream, ordered, with the last value carried on.
+        Both sides in one stream, ordered, with the last value carried on. bin_width (in seconds
+        for times, else in the column's numbers) also cuts the stream of a key in bins, so that a
+        key with a large part of all rows goes to many tasks; a table of each bin's last value,
+        one row for a bin, carries values on from bin to bin.
         """
         self._meet(other)
         self._check_keys(other, [(k, k) for k in by])
@@ -276,9 +279,23 @@ class UnitFrame:
         left = self.df.select(F.struct("*").alias("__row"), *by, F.col(left_on).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__carried"))
         row = left.schema["__row"].dataType
         right = other.df.select(F.lit(None).cast(row).alias("__row"), *by, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), carried.alias("__carried"))
-        keys = ", ".join(f"`{k}`" for k in by)
-        latest = F.expr(f"last(__carried, true) over (partition by {keys} order by __at, __side rows between unbounded preceding and current row)")
-        found = left.unionByName(right).withColumn("__latest", latest).where("__side = 1")
+        both = left.unionByName(right)
+        keys = [f"`{k}`" for k in by]
+        if bin_width is not None:
+            timed = both.schema["__at"].dataType.simpleString() in ("timestamp", "timestamp_ntz", "date")
+            number = F.unix_micros(F.col("__at").cast("timestamp")) / F.lit(1e6) if timed else F.col("__at").cast("double")
+            both = both.withColumn("__bin", F.floor(number / F.lit(bin_width)))
+            keys.append("__bin")
+        latest = F.expr(f"last(__carried, true) over (partition by {', '.join(keys)} order by __at, __side rows between unbounded preceding and current row)")
+        found = both.withColumn("__latest", latest).where("__side = 1")
+        if bin_width is not None:
+            lasts = both.groupBy(*by, "__bin").agg(F.max(F.when(F.col("__side") == 0, F.struct("__at", "__carried")))["__carried"].alias("__last"))
+            before = F.expr(f"last(__last, true) over (partition by {', '.join(keys[:-1])} order by __bin rows between unbounded preceding and 1 preceding)")
+            lasts = lasts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.col("__bin").alias("__b"), before.alias("__before"))
+            match = F.col("__bin").eqNullSafe(F.col("__b"))
+            for i, k in enumerate(by):
+                match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+            found = found.join(lasts, match, "left").withColumn("__latest", F.coalesce("__latest", "__before"))
         out = found.select(*[F.col("__row")[c].alias(c, metadata=self.df.schema[c].metadata or {}) for c in self.df.columns], *[F.col("__latest")[c].alias(c, metadata=other.df.schema[c].metadata or {}) for c in columns])
         return replace(self._next(out, "join", how="asof", on=by), context=self._merged(other))
 

@@ -306,7 +306,7 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = events(spark, sf_dir, "USD")
     left = u.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
     right = u.filter(F.col("event_type") == "click").rename({"ts": "click_ts", "value": "click_value"}).select("user_id", "click_ts", "click_value")
-    return left.asof_join(right, ["user_id"], "ts", "click_ts", ["click_ts"]).select("event_id", "click_ts").df
+    return left.asof_join(right, ["user_id"], "ts", "click_ts", ["click_ts"], bin_width=86_400).select("event_id", "click_ts").df
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")

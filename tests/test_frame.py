@@ -186,6 +186,14 @@ def test_joins(spark):
     right = UnitFrame.of(spark.createDataFrame([("k", 2, 7.0), ("k", 5, 8.0)], "k string, t int, v double")).tag({"v": "MW"})
     out = left.asof_join(right, ["k"], "t", "t", ["v"])
     assert out.units == {"v": "MW"} and sorted(map(tuple, out.df.collect())) == [("j", 9, None), ("k", 1, None), ("k", 5, 8.0)]
+    import random
+
+    rng = random.Random(1)
+    times = lambda n: [(rng.choice("kj"), rng.randrange(1000), float(i)) for i in range(n)]
+    many = [UnitFrame.of(spark.createDataFrame(times(200), "k string, t int, v double").dropDuplicates(["k", "t"])) for _ in range(2)]
+    a, b = many[0].rename({"v": "x"}), many[1]
+    plain, binned = (sorted(map(tuple, a.asof_join(b, ["k"], "t", "t", ["v"], w).df.collect())) for w in (None, 7.0))
+    assert plain == binned
 
 
 def test_rename_drops_descriptions(power):
