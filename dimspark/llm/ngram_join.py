@@ -241,4 +241,4 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(read_table(spark, sf_dir, "documents"))
+    return link_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
