@@ -15,6 +15,7 @@ from dimspark.functions.expr import q
 from dimspark.operators import aggregates as A
 from dimspark.operators.frame import UnitFrame
 from dimspark.streaming import windows
+from dimspark.streaming.stateful import apply_with_state
 from dimspark.units import default_registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,7 +377,7 @@ def registry_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf_dir: str, windowed: Callable[[UnitFrame], DataFrame]) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, windowed: Callable[[UnitFrame], DataFrame], mode: str = "append") -> DataFrame:
     """The result of a query over the events as a stream of files, read to its end.
 
     The query writes Parquet under the shared checkpoint folder: nothing stays on one machine.
@@ -391,32 +392,71 @@ def _streamed(spark: SparkSession, sf_dir: str, windowed: Callable[[UnitFrame],
     stream = windows.read_stream(spark, f"{sf_dir}/events*.parquet", schema)
     u = UnitFrame.of(stream).tag_temporal("value", "MW", "interval", "mean", "PT1H")
     made = windowed(windows.with_event_time(u, "ts", "1 hour"))
-    made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    writer = made.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out"))
+    writer.start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{folder}/out")
 
 
-@query()
+_CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@query(f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, max(value) AS most, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     def windowed(u: UnitFrame) -> DataFrame:
         made = windows.tumbling(u, "ts", "1 day", "event_type").agg(most=A.max_(u["value"]), n=A.count())
-        return made.df.select(F.col("window.start").alias("day"), "event_type", "most", "n")
+        return made.df.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "most", "n")
 
     return _streamed(spark, sf_dir, windowed)
 
 
-@query()
+@query(f"""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS b FROM events, (VALUES (0), (1)) t(k))
+SELECT strftime(b, '%Y-%m-%d %H') AS begins, event_type, max(value) AS most FROM w WHERE b + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     def windowed(u: UnitFrame) -> DataFrame:
         made = windows.sliding(u, "ts", "1 day", "12 hours", "event_type").agg(most=A.max_(u["value"]))
-        return made.df.select(F.col("window.start").alias("begins"), "event_type", "most")
+        return made.df.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("begins"), "event_type", "most")
 
     return _streamed(spark, sf_dir, windowed)
 
 
-@query()
+@query(f"""WITH o AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT event_type, ts, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS begins, event_type, count(*) AS n FROM s GROUP BY event_type, k HAVING max(ts) + INTERVAL 1 HOUR <= {_CLOSED}""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     def windowed(u: UnitFrame) -> DataFrame:
         made = windows.session(u, "ts", "1 hour", "event_type").agg(n=A.count(u["value"]))
-        return made.df.select(F.col("window.start").alias("begins"), "event_type", "n")
+        return made.df.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("begins"), "event_type", "n")
+
+    return _streamed(spark, sf_dir, windowed)
+
+
+@query("SELECT event_type, max(value) * 1000 AS most_kw, count(*) AS n FROM events GROUP BY event_type")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest power seen so far of each type, kept as state of our own."""
+    import pandas as pd
+
+    def greatest(key: tuple, parts, state):
+        most, n = state.get if state.exists else (float("-inf"), 0)
+        for part in parts:
+            most, n = max(most, float(part["value"].max())), n + len(part)
+        state.update((most, n))
+        yield pd.DataFrame({"event_type": [key[0]], "most_kw": [most], "n": [n]})
+
+    def windowed(u: UnitFrame) -> DataFrame:
+        made = apply_with_state(u, ["event_type"], greatest, "event_type string, most_kw double, n long", {"most_kw": "MW"}, "most double, n long")
+        return made.convert({"most_kw": "kW"}).df
+
+    return _streamed(spark, sf_dir, windowed, "update").groupBy("event_type").agg(F.max("most_kw").alias("most_kw"), F.max("n").alias("n"))
+
+
+@query("SELECT event_id, event_type, value FROM events JOIN (SELECT DISTINCT event_type FROM events WHERE value > 300) USING (event_type)")
+def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def windowed(u: UnitFrame) -> DataFrame:
+        static = events(spark, sf_dir, "MW").filter(F.col("value") > 300).select("event_type").distinct()
+        return u.join(static, "event_type").df.select("event_id", "event_type", "value")
 
     return _streamed(spark, sf_dir, windowed)

@@ -211,3 +211,11 @@ def test_command_line(capsys):
     assert main(["canonicalize", "MW*hr"]) == 0 and capsys.readouterr().out == "MW*h\n"
     assert main(["convert", "degC", "degF", "25"]) == 0 and capsys.readouterr().out == "77.0\n"
     assert main(["dimension", "Zorkmid"]) == 1 and "E_UNKNOWN_UNIT" in capsys.readouterr().err
+
+
+def test_great_factors_survive():
+    r = Registry(HEAD + '[unit.huge]\ndimension = "length"\nfactor = [170141183460469231729, 7]\n' + UNIT.format("m"))
+    c = r.conversion("huge", "m")
+    assert (c.numerator, c.denominator) == (170141183460469231729, 7)
+    with pytest.raises(UnitError, match="E_EXP_RANGE"):
+        r.canonicalize("huge^9")
