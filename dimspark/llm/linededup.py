@@ -176,57 +176,105 @@ def build_filters(shared: DataFrame, n_shards: int) -> DataFrame:
 
 
 def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_shards: int) -> DataFrame:
-    """The filters after keys are added and removed, shard by shard; a full shard is a reason to rebuild it."""
-    changes = added.select(shard_of(n_shards).alias("shard"), "key", F.lit(1).alias("sign")).unionByName(removed.select(shard_of(n_shards).alias("shard"), "key", F.lit(-1).alias("sign")))
+    """(shard, filter) of the shards that change, after keys are added and removed; null for one that is full."""
+    in_shard = lambda keys, sign: keys.select(shard_of(n_shards).alias("shard"), "key", F.lit(sign).alias("sign"))
+    changes = in_shard(added, 1).unionByName(in_shard(removed, -1))
 
     def change(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        base = np.frombuffer(old["filter"].iloc[0], np.uint16).reshape(-1, CuckooFilter.SLOTS).copy() if len(old) else None
-        made = CuckooFilter(max(len(new), 64), base)
-        for row in new[new["sign"] < 0]["key"]:
-            made.delete(bytes(row))
-        for row in new[new["sign"] > 0]["key"]:
-            made.insert(bytes(row))
+        if not len(new):
+            return pd.DataFrame({"shard": [], "filter": []})
+        base = np.frombuffer(bytes(old["filter"].iloc[0]), np.uint16).reshape(-1, CuckooFilter.SLOTS).copy() if len(old) else None
+        made = CuckooFilter(2 * max(len(new), 512), base)
+        try:
+            for row in new[new["sign"] < 0]["key"]:
+                made.delete(bytes(row))
+            for row in new[new["sign"] > 0]["key"]:
+                made.insert(bytes(row))
+        except OverflowError:
+            return pd.DataFrame({"shard": [key[0]], "filter": [None]})
         return pd.DataFrame({"shard": [key[0]], "filter": [made.table.tobytes()]})
 
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
 
 
 class LineIndex:
-    """The persisted state: an append-only signed log of postings in a folder that the cluster shares."""
+    """The persisted state, in a folder that the cluster shares.
 
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, min_chars: int = 20):
-        self.spark, self.path, self.min_docs, self.min_chars = spark, path.rstrip("/"), min_docs, min_chars
+    A batch is a folder of signed postings (+1 for documents that came, -1 for those that went)
+    and then a folder of filters that holds them. A batch counts once its filters are written:
+    what a lost driver left half done is overwritten by the next batch. A key enters its shard's
+    filter when its count reaches min_docs and leaves it when the count falls below, so a
+    deletion undoes an insertion in the log and in the filters alike.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, min_chars: int = 20, n_shards: int = 16):
+        self.spark, self.path, self.min_docs, self.min_chars, self.n_shards = spark, path.rstrip("/"), min_docs, min_chars, n_shards
+        self.batch = self._last_batch()
+
+    def _last_batch(self) -> int:
+        """The number of batches that are whole: Spark marks a written folder with _SUCCESS."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        n = 0
+        while True:
+            mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/filters/{n + 1}/_SUCCESS")
+            if not mark.getFileSystem(conf).exists(mark):
+                return n
+            n += 1
 
     def insert(self, docs: DataFrame) -> None:
-        self._append(postings(docs, min_chars=self.min_chars), 1)
+        self._apply(docs, 1)
 
     def delete(self, docs: DataFrame) -> None:
-        """Takes the rows of docs, by their texts, out of the counts."""
-        self._append(postings(docs, min_chars=self.min_chars), -1)
-
-    def _append(self, rows: DataFrame, sign: int) -> None:
-        rows.withColumn("sign", F.lit(sign)).write.mode("append").parquet(f"{self.path}/log")
+        """Takes the rows of docs, by their ids and texts, out of the counts and the filters."""
+        self._apply(docs, -1)
+
+    def _log(self, last: int) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/log/{n}" for n in range(1, last + 1)]) if last else None
+
+    def _apply(self, docs: DataFrame, sign: int) -> None:
+        n = self.batch + 1
+        postings(docs, min_chars=self.min_chars).withColumn("sign", F.lit(sign)).write.mode("overwrite").parquet(f"{self.path}/log/{n}")
+        now = reference_counts(self._log(n)).select("key", F.col("n_docs").alias("after"))
+        before = reference_counts(self._log(self.batch)).select("key", F.col("n_docs").alias("before")) if self.batch else now.select("key", F.lit(0).alias("before")).limit(0)
+        touched = self.spark.read.parquet(f"{self.path}/log/{n}").select("key").distinct()
+        moved = settle(touched.join(now, "key", "left").join(before, "key", "left").select("key", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after")))
+        added = moved.where((F.col("before") < self.min_docs) & (F.col("after") >= self.min_docs)).select("key")
+        removed = moved.where((F.col("before") >= self.min_docs) & (F.col("after") < self.min_docs)).select("key")
+        old = self.filters() if self.batch else self.spark.createDataFrame([], "shard int, filter binary")
+        made = settle(update_filters(old, added, removed, self.n_shards))
+        if made.where("filter is null").isEmpty():
+            untouched = old.join(made.select("shard"), "shard", "left_anti")
+            made = made.unionByName(untouched)
+        else:  # a shard is full: all are made anew, with room
+            made = build_filters(reference_counts(self._log(n)).where(F.col("n_docs") >= self.min_docs), self.n_shards)
+        made.write.mode("overwrite").parquet(f"{self.path}/filters/{n}")
+        self.batch = n
+
+    def filters(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/filters/{self.batch}")
 
     def counts(self) -> DataFrame:
-        return reference_counts(self.spark.read.parquet(f"{self.path}/log"))
+        log = self._log(self.batch)
+        return reference_counts(log if log is not None else self.spark.createDataFrame([], "key binary, doc_id long, sign int"))
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        return dedup_lines(docs, self.min_docs, self.min_chars, self.counts())
+        return dedup_lines(docs, self.min_docs, self.min_chars, self.counts(), filters=(self.n_shards, self.filters()) if self.batch else None)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, counts: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, counts: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None, filters: tuple[int, DataFrame] | None = None) -> DataFrame:
     """The rows of docs without lines that min_docs documents share, except in the last document that holds them.
 
     Returns the columns keep (doc_id, unless named), n_lines, n_dropped and kept_text.
-    counts: the reference counts to decide by; otherwise those of docs itself.
+    counts: the reference counts to decide by; otherwise those of docs itself. filters: the
+    number of shards and the filters of those counts, where they are at hand.
     """
     spark = docs.sparkSession
     shared = settle((counts if counts is not None else reference_counts(postings(docs, min_chars=min_chars))).where(F.col("n_docs") >= min_docs))
     n_shared = shared.count()
     probe = None
     if n_shared * 5 <= broadcast_bytes:  # 2 bytes a slot, at a load of 0.42 at least
-        n_shards = max(1, -(-n_shared // SHARD_KEYS))
-        tables = {r["shard"]: bytes(r["filter"]) for r in build_filters(shared, n_shards).collect()}
+        n_shards, made = filters or (n := max(1, -(-n_shared // SHARD_KEYS)), build_filters(shared, n))
+        tables = {r["shard"]: bytes(r["filter"]) for r in made.collect()}
         probe = spark.sparkContext.broadcast((n_shards, tables))
     hits = postings(docs, min_chars=min_chars, probe=probe)
     dropped = hits.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc_id", "__id")

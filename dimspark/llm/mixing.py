@@ -195,6 +195,18 @@ def mix_documents(docs: DataFrame, weight_of: Callable[[int, str | None], float]
     return planned.select("__own", F.explode(F.array_repeat(F.lit(1), times))).select("__own.*")
 
 
+def draw_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, n_shards: int = 16, **options) -> DataFrame:
+    """The mix itself: docs' columns as a struct doc, with words (taken, from the text's start), pass, shard and place.
+
+    A partition holds a shard's rows, or several shards', in the shuffled order of each shard.
+    """
+    own = docs.columns
+    planned = plan_mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "doc_id", "text", "source"), weight_of, n_shards=n_shards, **options)
+    passes = F.array(*[F.struct(F.lit(k).alias("pass"), F.col(c).alias("words"), F.col("__mix_shards")[k].alias("shard")) for k, c in enumerate(("__mix_first", "__mix_second"))])
+    drawn = planned.select("doc", "__mix_order", F.explode(passes).alias("d")).select("doc", "d.words", "d.pass", "d.shard", F.xxhash64("__mix_order", "d.pass").alias("place"))
+    return drawn.where("words > 0").repartition(n_shards, "shard").sortWithinPartitions("shard", "place")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), rank_weights)
     shard = F.col("__mix_shards")

@@ -187,11 +187,16 @@ def test_line_index_is_reversible(spark, make_docs, odd_rows, tmp_path):
     index = linededup.LineIndex(spark, str(tmp_path / "index"))
     index.insert(a)
     before = pairs(map(tuple, index.counts().collect()))
+    held = lambda i: {r["shard"]: sorted(x for x in np.frombuffer(bytes(r["filter"]), np.uint16) if x) for r in i.filters().collect()}
+    filters = held(index)
     index.insert(b)
     assert pairs(map(tuple, index.counts().collect())) != before
-    index.delete(b)
-    assert pairs(map(tuple, index.counts().collect())) == before
-    assert pairs(map(tuple, index.dedup(a).collect())) == pairs(brute_lines(odd_rows))
+    assert pairs(map(tuple, index.dedup(b).collect())) == pairs(r for r in brute_lines(odd_rows + [(r.doc_id, r.text, r.source) for r in b.collect()]) if r[0] and r[0] >= 100)
+    again = linededup.LineIndex(spark, str(tmp_path / "index"))
+    again.delete(b)
+    assert again.batch == 3 and pairs(map(tuple, again.counts().collect())) == before
+    assert {k: v for k, v in held(again).items() if v} == {k: v for k, v in filters.items() if v}
+    assert pairs(map(tuple, again.dedup(a).collect())) == pairs(brute_lines(odd_rows))
 
 
 def test_cuckoo_filter(spark):
@@ -208,6 +213,8 @@ def test_cuckoo_filter(spark):
     more = spark.createDataFrame([(bytearray(k),) for k in others[:50]], "key binary")
     filters = linededup.update_filters(linededup.build_filters(table, 4), more, table.limit(10), 4).collect()
     assert len(filters) == 4
+    tiny = spark.createDataFrame([(0, bytearray(np.zeros((16, 4), np.uint16).tobytes()))], "shard int, filter binary")
+    assert [r["filter"] for r in linededup.update_filters(tiny, table, table.limit(0), 1).collect()] == [None]
 
 
 # --- 4 ---------------------------------------------------------------------
@@ -252,6 +259,11 @@ def test_mixing(odd, odd_rows, none, make_docs, words):
         assert all(abs(taken[s] - target[s]) <= 2 for s in order)
     assert mixing.plan_mix(none, mixing.rank_weights).count() == 0
     assert mixing.mix_documents(odd).columns == odd.columns
+    drawn = mixing.draw_mix(many, n_shards=5)
+    sums = Counter()
+    for r in drawn.collect():
+        sums[r.doc.source] += r.words
+    assert all(abs(sums[s] - target[s]) <= 2 for s in order) and len({r.shard for r in drawn.collect()}) == 5
 
 
 # --- 5 ---------------------------------------------------------------------
