@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: The characters that the contracts call blanks: space and tab to carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
 #: A word, as every contract on words defines it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only where none is set."""
+    """The shared checkpoint folder of the session; a private one only on a single machine where none is set, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="dimspark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -61,23 +61,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Identifies a row by its id and whole text; rows that agree in both share every per-document result."""
     return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
-
-
-def shards_for(spark: SparkSession, least: int = 1) -> int:
-    """A partition count that follows the session's, which follows the cluster's data size."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def chunks(it: Iterable, n: int) -> Iterator[list]:
-    part: list = []
-    for x in it:
-        part.append(x)
-        if len(part) == n:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
-def cpu_count() -> int:
-    return os.cpu_count() or 1
