@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DecimalType, NumericType, StructField, StructType
 
 from dimspark.errors import UnitError
@@ -157,7 +156,3 @@ def apply_sidecar(df: DataFrame, text: str, key: str = KEY) -> DataFrame:
             meta = Metadata.from_json(json.dumps(body, ensure_ascii=False))
             df = df.withMetadata(name, {**(df.schema[name].metadata or {}), key: meta.to_json()})
     return df
-
-
-def null_safe_equal(a: str, b: str):
-    return F.col(a).eqNullSafe(F.col(b))

@@ -233,6 +233,7 @@ def test_files(spark, power, tmp_path):
 def test_scalar_rules(power):
     u = UnitFrame.of(power).tag({"p": "m", "v": "m"})
     p, v = u["p"], u["v"]
+    assert u.select(x=scalar.round_(v / 10, 1)).df.first().x == 13.8
     assert scalar.sqrt(p * v).unit == "m" and scalar.greatest(p, q(1, "km")).unit == "m" and scalar.sin(u.tag({"p": "deg"})["p"]).unit == "1"
     assert scalar.atan2(p, v).unit == "rad" and scalar.coalesce(p, v).unit == "m" and scalar.log(p / v).unit == "1" and scalar.abs_(-p).unit == "m"
     with pytest.raises(UnitError, match="E_EXP_RANGE"):
@@ -276,6 +277,10 @@ def test_streams_keep_tags(spark, sf_dir):
     assert u.df.isStreaming and u.units == {"value": "MW"}
     made = windows.tumbling(u, "ts", "1 day").agg(most=A.max_(u["value"]))
     assert made.units == {"most": "MW"} and made.df.isStreaming
+    assert windows.dedup_within_watermark(u, "event_id").units == {"value": "MW"}
+    hourly = u.tag_temporal("value", "MW", "interval", "mean", "PT1H")
+    stated = windows.over_period(A.mean(hourly["value"]), "P1D")
+    assert stated.result.temporal.period == "P1D" and windows.without_period(stated).result.temporal is None
 
 
 def test_provenance(power):

@@ -167,6 +167,14 @@ def test_composing_nothing_or_twice():
         compose("merged", "1", [sources()[0]] * 2)
 
 
+def test_composing_files(tmp_path):
+    from dimspark.units.compose import compose_paths
+
+    for s in sources():
+        (tmp_path / f"{s.name}.toml").write_text(s.toml)
+    assert compose_paths("merged", "1", sorted(tmp_path.iterdir()), [RULING]).pin == PIN
+
+
 def test_writer():
     assert write_toml({"b": {"x": 1, "a": {"k": "v"}}, "a": {}}) == '[a]\n\n[b]\nx = 1\n\n[b.a]\nk = "v"\n'
     assert write_toml({"t": {"odd key": [1, "q\"uote"], "f": True}}) == '[t]\nf = true\n"odd key" = [1, "q\\"uote"]\n'
