@@ -19,7 +19,6 @@ after others as a representative; an empty table gives no rows; only doc_id and
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd

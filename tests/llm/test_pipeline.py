@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 import xxhash
-from test_operators import BLANK, brute_lines, brute_links, brute_statistics  # noqa: F401
+from test_operators import brute_lines, brute_links, brute_statistics
 
 from dimspark.llm import mixing
 from dimspark.llm.tokens import tokens
