@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DecimalType, NumericType, StructField, StructType
 
 from dimspark.errors import UnitError
@@ -61,10 +62,11 @@ def tag_schema(schema: StructType, units: dict[str, str], registry: Registry, qu
 def with_schema_metadata(df: DataFrame, schema: StructType) -> DataFrame:
     """df with the metadata of a schema of the same names; one projection, no job."""
     old = {f.name: f.metadata or {} for f in df.schema.fields}
-    changed = [f for f in schema.fields if (f.metadata or {}) != old.get(f.name)]
-    for f in changed:
-        df = df.withMetadata(f.name, f.metadata or {})
-    return df
+    new = {f.name: f.metadata or {} for f in schema.fields}
+    if all(new.get(n, m) == m for n, m in old.items()):
+        return df
+    quoted = {n: F.col("`" + n.replace("`", "``") + "`") for n in df.columns}
+    return df.select(*[c.alias(n, metadata=new[n]) if new.get(n, old[n]) != old[n] else c for n, c in quoted.items()])
 
 
 def tag(data: DataFrame | StructType, units: dict[str, str], registry: Registry, quantities: dict[str, str] | None = None, **options) -> Any:
