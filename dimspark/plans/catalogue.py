@@ -296,7 +296,18 @@ def join_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, s_suppkey FROM events JOIN supplier ON value * 1000 >= s_acctbal AND value * 1000 < s_acctbal + 500 WHERE event_id < 2000")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = UnitFrame.of(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 2000").select("event_id", F.col("value"))).tag({"value": "km"})
+    """The events that its SQL names; range_join_all joins every one."""
+    return _range_join(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 2000"))
+
+
+@query()
+def range_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the suppliers whose range holds its value; a test holds it against all pairs."""
+    return _range_join(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _range_join(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    left = UnitFrame.of(rows.select("event_id", F.col("value"))).tag({"value": "km"})
     right = UnitFrame.of(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 500).alias("high"))).tag({"low": "m", "high": "m"})
     return left.convert({"value": "m"}).range_join(right, "value", "low", "high", 1000.0).select("event_id", "s_suppkey").df
 

@@ -35,6 +35,15 @@ def test_query(spark, sf_dir, duck, name):
     assert rows(made.columns, got) == rows(want.columns, want.fetchall())
 
 
+def test_range_join_all_joins_every_event(spark):
+    folder = "/root/testdata/sf0.01"
+    events = [(r.event_id, r.value * 1000) for r in spark.read.parquet(f"{folder}/events.parquet").collect() if r.value is not None]
+    suppliers = sorted((r.s_acctbal, r.s_suppkey) for r in spark.read.parquet(f"{folder}/supplier.parquet").collect())
+    want = sorted((i, k) for i, v in events for low, k in suppliers if low <= v < low + 500)
+    assert max(i for i, _ in want) >= 2000
+    assert sorted(map(tuple, QUERIES["range_join_all"](spark, folder).collect())) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
