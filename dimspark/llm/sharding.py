@@ -4,9 +4,9 @@ Documents of equal text are linked through hubs, one for each group, or several
 above a shard's capacity (each for an even part of it, by a hash of the row). Labels are
 shards. Documents begin at a hashed shard; in each round every hub without a place takes
 the label that most of its documents, and of the placed hubs of its group, hold among the
-shards with room for it. Under a quota for each shard, larger hubs come first; those that don't
-fit propagate again, towards other shards. Then every hub's documents move to its label. The
-other documents fill the shards to even counts: a shard keeps its first rows, linked ones
+shards with room for it. Under a quota for each shard, larger hubs come first, lot by lot, and
+the lot that fits in part is taken hub by hub; those that don't fit propagate again, until none
+that waits has a shard with room. Then every hub's documents move to its label. The other documents fill the shards to even counts: a shard keeps its first rows, linked ones
 first, and hands the rest, one by one, to the shards that lack rows.
 
 DataFrame functions only. State is one row for each hub; what the driver holds has one
@@ -22,6 +22,8 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from dimspark.llm.common import read_table, settle
 N_SHARDS, ROUNDS = 40, 8
 #: Rows of a shard that are ranked in one part, about.
 PART_ROWS = 5_000
-#: Parts of the hubs of a size class that are accepted or left together.
+#: Parts of the hubs of a size class that are accepted together; hubs are ranked one by one in the first that doesn't fit.
 LOTS = 64
 
 
@@ -48,19 +50,23 @@ def linked_members(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
 
 
 def propagate(members: DataFrame, total: int, n_shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """(grp, hub, label): the labels of the hubs that found a place under the quotas."""
+    """(grp, hub, label): the labels of the hubs that found a place under the quotas.
+
+    Votes count in the first rounds; then a hub takes any shard with room. The rounds go on until
+    no hub that waits has a shard with room: each places a hub at least at every label wished for.
+    """
     votes = settle(members.where("hub is not null").groupBy("grp", "hub", "parts", "label").agg(F.count(F.lit(1)).alias("votes")))
     waiting = settle(votes.groupBy("grp", "hub", "parts").agg(F.sum("votes").alias("size")))
     placed = waiting.select("*", F.lit(0).alias("label")).limit(0)
     room = dict.fromkeys(range(n_shards), total // n_shards)
-    for turn in range(rounds):
-        if not any(room.values()) or waiting.isEmpty():
+    for turn in count():
+        if not (most := max(room.values())) or waiting.where(F.col("size") <= most).isEmpty():
             break
         rooms = F.array(*[F.struct(F.lit(s).alias("label"), F.lit(n).alias("room")) for s, n in room.items()])
         has_room = F.element_at(rooms, F.col("label") + 1)["room"] >= F.col("size")
         own = waiting.join(votes.select("grp", "hub", "label", "votes"), ["grp", "hub"]).select("grp", "hub", "size", "label", "votes")
         siblings = placed.where("parts > 1").groupBy("grp", "label").agg(F.sum("size").alias("votes")).join(waiting.where("parts > 1").select("grp", "hub", "size"), "grp").select("grp", "hub", "size", "label", "votes")
-        heard = own.unionByName(siblings).where(has_room).groupBy("grp", "hub", "label").agg(F.sum("votes").alias("votes"))
+        heard = own.unionByName(siblings).where(has_room & F.lit(turn < rounds)).groupBy("grp", "hub", "label").agg(F.sum("votes").alias("votes"))
         best = heard.groupBy("grp", "hub").agg(F.max(F.struct("votes", F.xxhash64("grp", "hub", "label").alias("tie"), "label"))["label"].alias("best"))
         roomy = F.filter(rooms, lambda r: r["room"] >= F.col("size"))
         anywhere = F.get(roomy, F.pmod(F.xxhash64("grp", "hub", F.lit(turn)), F.greatest(F.size(roomy), F.lit(1))).cast("int"))["label"]
@@ -69,12 +75,16 @@ def propagate(members: DataFrame, total: int, n_shards: int, rounds: int = ROUND
         sums = wishes.groupBy("label", "lot").agg(F.sum("size").alias("size"))
         reached = F.expr("sum(size) over (partition by label order by lot rows between unbounded preceding and current row)")
         limit = F.element_at(F.array(*[F.lit(room[s]) for s in range(n_shards)]), F.col("label") + 1)
-        fits = settle(sums.withColumn("reached", reached).where(F.col("reached") <= limit).select("label", "lot", "size"))
-        for r in fits.groupBy("label").agg(F.sum("size").alias("n")).collect():
+        spare = limit - F.col("reached") + F.col("size")  # room that is left for the lot; one lot of a label at most fits in part
+        lots = settle(sums.withColumn("reached", reached).where(spare >= 0).select("label", "lot", spare.alias("spare"), (F.col("reached") <= limit).alias("whole")))
+        judged = wishes.join(lots, ["label", "lot"], "left")  # without a label: none has room
+        ranked = F.expr("sum(size) over (partition by label, lot order by size desc, xxhash64(grp, hub), grp, hub rows between unbounded preceding and current row)")
+        cut = judged.where("not whole").withColumn("fits", ranked <= F.col("spare"))
+        judged = settle(judged.where("whole is null or whole").withColumn("fits", F.col("whole").isNotNull()).unionByName(cut))
+        for r in judged.where("fits").groupBy("label").agg(F.sum("size").alias("n")).collect():
             room[r["label"]] -= int(r["n"])
-        judged = settle(wishes.join(fits.select("label", "lot", F.lit(True).alias("fits")), ["label", "lot"], "left"))  # without a label: none has room
         placed = settle(placed.unionByName(judged.where("fits").select("grp", "hub", "parts", "size", "label")))
-        waiting = judged.where("fits is null").select("grp", "hub", "parts", "size")
+        waiting = judged.where("not fits").select("grp", "hub", "parts", "size")
     return placed.select("grp", "hub", "label")
 
 

@@ -487,3 +487,13 @@ def test_sharding(make_docs, odd_rows, none, words, n_shards):
         whole = [len(where[zlib.crc32(f"copy {g}".encode())]) == 1 for g in range(20)]
         assert np.mean(whole) > 0.8
     assert sharding.shard_documents(none, n_shards).count() == 0
+
+
+def test_sharding_places_every_hub_that_has_room(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "LOTS", 1)  # all pairs that wish for a shard are one lot, as large numbers of small groups make them
+    rows = [(k, f"great {k % 2}", "s") for k in range(80)] + [(5000 + k, f"pair {k // 2}", "s") for k in range(402)]
+    members, total = sharding.linked_members(make_docs(rows), 2)
+    homes = {(bytes(r.grp), r.hub): r.label for r in sharding.propagate(members, total, 2).collect()}
+    sizes = Counter((bytes(r.grp), r.hub) for r in members.where("hub is not null").collect())
+    room = [total // 2 - sum(n for h, n in sizes.items() if homes.get(h) == s) for s in range(2)]
+    assert min(room) >= 0 and all(n > max(room) for h, n in sizes.items() if h not in homes)
