@@ -2,10 +2,12 @@
 
 Patterns give spans of several kinds. Base kinds are reported wherever they stand. Weak
 kinds (identifiers, secrets and endpoints that look like many harmless things) are only
-reported if a complementary part begins within `reach` code points: an identifier or an
-endpoint needs a secret, a secret needs an identifier or an endpoint; base spans serve as
-parts too. The parts are joined by intervals: both sides go to bins as wide as the reach,
-a candidate to its own and the two beside it, so a bin holds few parts whatever the text.
+reported if the gap to a complementary part, from the end of the earlier to the start of the
+later, is at most `reach` code points: an identifier or an endpoint needs a secret, a secret
+needs an identifier or an endpoint; base spans serve as parts too. The parts are joined by
+intervals: each goes to the bins, as wide as the reach, from its start to the reach after its
+end, so a bin holds few parts whatever the text; two parts that are near meet in the bin where
+the later starts.
 
 DataFrame functions only. Positions come from the pieces between matches: the split of a
 text by a pattern and its matches are as many, but for one, and are summed in order.
@@ -62,11 +64,12 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """The parts that are reported: base ones, and weak ones with a complementary part within reach."""
     strong = parts.where(~F.col("weak"))
     weak = parts.where("weak").join(strong.select("key", "start", "end").distinct(), ["key", "start", "end"], "left_anti")
-    binned = weak.withColumn("bin", F.floor(F.col("start") / reach)).withColumn("at", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    other = parts.select(F.col("key").alias("o_key"), F.floor(F.col("start") / reach).alias("o_bin"), F.col("role").alias("o_role"), F.col("start").alias("o_start"))
+    bins = lambda: F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") + reach) / reach)))
+    binned = weak.withColumn("at", bins())
+    other = parts.select(F.col("key").alias("o_key"), F.col("role").alias("o_role"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), bins().alias("o_at"))
     complementary = F.when(F.col("role") == "secret", F.col("o_role") != "secret").otherwise(F.col("o_role") == "secret")
-    near = F.abs(F.col("start") - F.col("o_start")) <= reach
-    linked = binned.join(other, (F.col("key") == F.col("o_key")) & (F.col("at") == F.col("o_bin")) & near & complementary, "left_semi")
+    near = (F.col("o_start") <= F.col("end") + reach) & (F.col("start") <= F.col("o_end") + reach)
+    linked = binned.join(other, (F.col("key") == F.col("o_key")) & (F.col("at") == F.col("o_at")) & near & complementary, "left_semi")
     return strong.unionByName(linked.select(*parts.columns).distinct())
 
 

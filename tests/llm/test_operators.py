@@ -292,6 +292,18 @@ def test_weak_parts_need_each_other(make_docs):
     assert kinds == {1: ["identifier", "candidate"], 2: [], 3: [], 4: [], 5: ["endpoint", "candidate"], 6: []}
 
 
+def test_gaps_are_measured_between_the_ends_of_parts(make_docs):
+    key, url = "private_key=" + "Zz9" * 150, "https://host.example/" + "q" * 1000
+    gap = lambda n: " " + "." * (n - 2) + " "
+    rows = [
+        (1, f"{key} then host: db.example.com", "s"), (2, f"{url} pwd=abcdefgh", "s"), (3, f"pwd=abcdefgh {url}", "s"), (4, f"{key}{gap(300)}host: db.example.com", "s"),
+        (5, f"{key}{gap(301)}host: db.example.com", "s"), (6, f"{key} {key}", "s"), (7, f"{url}{gap(300)}pwd=abcdefgh", "s"), (8, f"{url}{gap(301)}pwd=abcdefgh", "s"),
+        (9, f"https://host.example/{'q' * 600}?pwd=abcdefgh&{'q' * 600}", "s"),
+    ]
+    kinds = {r.doc_id: [s["kind"] for s in r.spans or []] for r in secrets.scan(make_docs(rows)).collect()}
+    assert kinds == {1: ["candidate", "endpoint"], 2: ["endpoint", "candidate"], 3: ["candidate", "endpoint"], 4: ["candidate", "endpoint"], 5: [], 6: [], 7: ["endpoint", "candidate"], 8: [], 9: ["endpoint", "candidate"]}
+
+
 # --- 6 ---------------------------------------------------------------------
 
 
