@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the sources to their target weights; a document that is drawn twice is there twice."""
+    """Draws the sources to their target weights, dealt to shards and shuffled; a document that is drawn twice is there twice."""
     return mix_documents(docs)
 
 

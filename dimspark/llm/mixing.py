@@ -11,8 +11,8 @@ to its left is where its own disjoint range of blocks begins. Inside a shard doc
 are ordered by another seeded rank.
 
 Decisions are functions of a row and of a table with one row for each source, which the
-weights name one by one and so is of the size of this operator's own argument; texts are
-never moved.
+weights name one by one and so is of the size of this operator's own argument. Planning
+never moves texts; drawing the mix, in the pipeline, moves each once for each time it is drawn.
 
 Defined results: a null text has no words; a null source is a source, after all others;
 a document without words takes part with none; where one rank holds many identical rows
@@ -35,6 +35,8 @@ from dimspark.llm.common import WORD, read_table, settle
 BROADCAST_SOURCES = 100_000
 BITS = 12
 BLOCKS = 1 << BITS
+#: Rows of a shard that are sorted and written in one part, about.
+PART_ROWS = 5_000
 
 
 def words_in(text: str = "text") -> Column:
@@ -182,17 +184,31 @@ def block_places(blocks: DataFrame, plan: pd.DataFrame, n_shards: int, seed: int
     return settle(placed.groupBy(F.col("pid").alias("__mix_pid"), F.col("__mix_block").alias("__mix_pblock")).agg(F.array(shard_in(0), shard_in(1)).alias("__mix_shards")))
 
 
+def place(number: Column) -> Column:
+    """A document's place, of 63 bits, in its shard's order in a pass."""
+    return F.shiftrightunsigned(F.xxhash64("__mix_order", number), 1)
+
+
 def rank_weights(i: int, name: str | None) -> float:
     return (3.0, 1.0, 2.0)[i % 3]
 
 
-def mix_documents(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, **options) -> DataFrame:
-    """docs, all columns, as the mix has them: a row for each pass that takes at least half of its words."""
+def mix_documents(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, n_shards: int = 16, **options) -> DataFrame:
+    """docs, all columns, as the mix has them: a row for each pass that takes at least half of its words.
+
+    A partition holds an even part of a shard, in shuffled order; a shard's parts follow each
+    other in that order, as do the files when the rows are written.
+    """
     own = docs.columns
-    planned = plan_mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own"), "doc_id", "text", "source"), weight_of, **options)
+    planned = plan_mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own"), "doc_id", "text", "source"), weight_of, n_shards=n_shards, **options)
     half = lambda c: F.when(F.col("__mix_size") > 0, 2 * F.col(c) >= F.col("__mix_size")).otherwise(F.lit(c == "__mix_first"))
-    times = half("__mix_first").cast("int") + half("__mix_second").cast("int")
-    return planned.select("__own", F.explode(F.array_repeat(F.lit(1), times))).select("__own.*")
+    shard = lambda k: F.coalesce(F.col("__mix_shards")[k], F.pmod("__mix_order", F.lit(n_shards))).cast("int")  # noqa: E731 - a document without words can be in a block that is not drawn
+    passes = F.array(*[F.struct(half(c).alias("drawn"), shard(k).alias("shard"), place(F.lit(k)).alias("place")) for k, c in enumerate(("__mix_first", "__mix_second"))])
+    drawn = planned.select("__own", F.explode(passes).alias("d")).where("d.drawn")
+    parts = max(1, -(-2 * docs.count() // (n_shards * PART_ROWS)))
+    top = F.shiftright(F.col("d.place"), 32) * parts  # the part of a shard, times 2**31
+    at = (F.col("d.shard") * parts + F.shiftright(top, 31)).cast("int")
+    return drawn.repartitionById(n_shards * parts, at).sortWithinPartitions("d.place").select("__own.*")
 
 
 def draw_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, n_shards: int = 16, **options) -> DataFrame:
@@ -203,7 +219,7 @@ def draw_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float] = ra
     own = docs.columns
     planned = plan_mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "doc_id", "text", "source"), weight_of, n_shards=n_shards, **options)
     passes = F.array(*[F.struct(F.lit(k).alias("pass"), F.col(c).alias("words"), F.col("__mix_shards")[k].alias("shard")) for k, c in enumerate(("__mix_first", "__mix_second"))])
-    drawn = planned.select("doc", "__mix_order", F.explode(passes).alias("d")).select("doc", "d.words", "d.pass", "d.shard", F.xxhash64("__mix_order", "d.pass").alias("place"))
+    drawn = planned.select("doc", "__mix_order", F.explode(passes).alias("d")).select("doc", "d.words", "d.pass", "d.shard", place(F.col("d.pass")).alias("place"))
     return drawn.where("words > 0").repartition(n_shards, "shard").sortWithinPartitions("shard", "place")
 
 

@@ -88,3 +88,26 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
         assert stage(spark, docs, where).columns == docs.columns
         assert stage(spark, docs.limit(0), where).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), where).count() == 0
+
+
+def test_mixing_deals_and_shuffles(spark, make_docs, words, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    rng = random.Random(22)
+    docs = make_docs([(i, " ".join(rng.choice(words) for _ in range(rng.randint(20, 60))), "abc"[i // 200]) for i in range(600)]).coalesce(1)
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    where = {}
+    for d in mixing.draw_mix(docs).collect():
+        where.setdefault(d.doc["doc_id"], {})[d.shard, d.place] = d.doc["source"]
+    files = [[r.doc_id for r in spark.read.parquet(str(f)).coalesce(1).collect()] for f in sorted((tmp_path / "mixed").glob("*.parquet"))]
+    files = [f for f in files if f]
+    assert len(files) >= 30 and sum(map(len, files)) > 700
+    last = (-1, -1)
+    for ids in files:
+        shards = set.intersection(*[{s for s, _ in where[i]} for i in ids])
+        assert shards  # all rows of a file are of one shard
+        for i in ids:  # and files and rows follow the shuffled order
+            last = min(at for at in where[i] if at > last)
+        assert last[0] in shards
+    beside = [a == b for ids in files for a, b in zip(ids, ids[1:])]
+    same = [(a % 600) // 200 == (b % 600) // 200 for ids in files for a, b in zip(ids, ids[1:])]
+    assert sum(beside) <= 3 and sum(same) < 0.7 * len(same)
