@@ -4,7 +4,8 @@ All rolling three-word grams of the texts are joined by hash, then word by word,
 positions in templates. A match votes for a diagonal, the difference of both positions;
 neighbouring diagonals (words put in or left out) are merged, and a merged span is verified
 by the share of the template's grams that it holds in a stretch not much longer than the
-template. The base phrases are templates of one gram; "cc by" is a gram of two words.
+template. Short templates, whose grams an edit of one word can break all, are also looked for
+word by word around a word that tells them from others; such spans have no share. The base phrases are templates of one gram; "cc by" is a gram of two words.
 
 DataFrame functions only; the templates are a constant of this module (or the caller's
 argument) and are broadcast. Hot passages meet no shuffle before they are counted.
@@ -49,8 +50,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("public-domain", "dedicated to the public domain"),
 )
 SLACK, LEAST_SHARE, MOST_STRETCH = 2, 0.75, 1.5
-#: Templates of up to so many grams differ from each other by a word or two: all their grams must be there.
+#: Templates of up to so many grams differ from each other by a word or two: all their grams must be there,
+#: or, with words put in, left out or changed, those of the words below that tell them from others.
 SHORT_GRAMS = 9
+#: Label: the words without which a short template is not meant. The rarest comes first.
+TELLING: dict[str, tuple[str, ...]] = {
+    "mit": ("mit",), "apache-2.0": ("apache", "2"), "bsd": ("bsd",), "gpl-3.0": ("gnu", "general", "3"), "gpl-2.0": ("gnu", "general", "2"), "lgpl": ("lesser",),
+    "cc-by-4.0": ("cc", "by", "4"), "cc-by-nc-4.0": ("cc", "by", "nc", "4"), "cc-by-sa-4.0": ("cc", "by", "sa", "4"), "cc-by": ("creative", "commons", "attribution"), "public-domain": ("domain", "public"),
+}
+#: Words that make another license of one that does not have them.
+OTHERS = ("lesser", "library", "affero", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike")
 
 
 def words_of(text: str) -> list[str]:
@@ -76,11 +85,36 @@ def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return made.withColumn("t_hash", _gram_hash(F.col("a"), F.col("b"), F.col("c")))
 
 
+def edited_spans(worded: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(key, label, first, last): short templates with a share of LEAST_SHARE of their words, each within SLACK of its place.
+
+    worded: key and w, the words. Places are counted from a template's first telling word. All
+    telling words must be there, and between the first and last word no word of OTHERS that the
+    template does not have.
+    """
+    short = []
+    for label, text in templates:
+        words = words_of(text)
+        tell = TELLING.get(label, ())
+        if len(words) - 2 <= SHORT_GRAMS and tell and set(tell) <= set(words):
+            short.append((tell[0], label, words, words.index(tell[0]), [words.index(x) for x in tell], [x for x in OTHERS if x not in words]))
+    known = F.broadcast(worded.sparkSession.createDataFrame(short, "anchor string, label string, t array<string>, place int, tell array<int>, others array<string>"))
+    anchors = F.array(*[F.lit(x) for x in sorted({x[0] for x in short})]).cast("array<string>")
+    at = worded.where(F.arrays_overlap("w", anchors)).select("key", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(anchors, F.get("w", i)))).alias("pos"))
+    begin = F.greatest(F.col("pos") - F.col("place") - SLACK, F.lit(0))
+    window = F.slice("w", begin + 1, F.col("pos") - F.col("place") + F.size("t") + SLACK - begin)
+    near = at.join(known, F.get("w", F.col("pos")) == F.col("anchor")).select("key", "label", "t", "tell", "others", begin.alias("begin"), (F.col("pos") - F.col("place")).alias("diagonal"), window.alias("v"))
+    hits = F.expr(f"transform(sequence(0, size(t) - 1), i -> filter(sequence(0, size(v) - 1), j -> v[j] = t[i] and abs(begin + j - diagonal - i) <= {SLACK}))")
+    near = near.withColumn("hits", hits).withColumns({"held": F.expr("size(filter(hits, h -> size(h) > 0))"), "low": F.expr("array_min(transform(hits, h -> array_min(h)))"), "high": F.expr("array_max(transform(hits, h -> array_max(h)))")})
+    good = (F.col("held") >= LEAST_SHARE * F.size("t")) & F.expr("forall(tell, i -> size(hits[i]) > 0)") & F.expr("not arrays_overlap(slice(v, low + 1, high - low + 1), others)")
+    return near.where(good).select("key", "label", (F.col("begin") + F.col("low")).alias("first"), (F.col("begin") + F.col("high")).alias("last"))
+
+
 def find_spans(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, label, base, first, last, share, verified): merged and verified spans, positions in words."""
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    worded = docs.select(text_key(doc_id, text).alias("key"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 1)
-    at = worded.select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("pos"))
+    words_in = lambda rows: rows.select(text_key(doc_id, text).alias("key"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    at = words_in(docs).select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("pos"))
     x, y, z = F.get("w", F.col("pos")), F.get("w", F.col("pos") + 1), F.get("w", F.col("pos") + 2)
     grams = at.select("key", "pos", x.alias("x"), y.alias("y"), z.alias("z"), _gram_hash(x, y, z).alias("hash"))
     known = F.broadcast(template_grams(docs.sparkSession, templates))
@@ -93,7 +127,10 @@ def find_spans(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", tex
     share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     fits = (F.col("last") - F.col("first") + 3) <= F.col("words") * MOST_STRETCH + SLACK
     enough = share >= F.when(F.col("grams") <= SHORT_GRAMS, 1.0).otherwise(LEAST_SHARE)
-    return merged.select("key", "label", "base", "first", "last", share.alias("share"), (F.col("base") | (enough & fits)).alias("verified"))
+    spans = merged.select("key", "label", "base", "first", "last", share.alias("share"), (F.col("base") | (enough & fits)).alias("verified"))
+    telling = "|".join(sorted({x[0] for x in TELLING.values()}))
+    edited = edited_spans(words_in(docs.where(body.rlike(f"(?<![a-z0-9])(?:{telling})(?![a-z0-9])"))), templates).select("key", "label", F.lit(False).alias("base"), "first", "last", F.lit(None).cast("double").alias("share"), F.lit(True).alias("verified"))
+    return spans.unionByName(edited)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -450,6 +450,20 @@ def test_licenses(make_docs, odd_rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_edited_short_licenses(make_docs):
+    short = [(label, licenses.words_of(t)) for label, t in licenses.TEMPLATES if len(licenses.words_of(t)) - 2 <= licenses.SHORT_GRAMS]
+    assert len(short) == 12
+    cases = [("licensed under the new BSD License", "bsd", True), ("Licensed under the Apache License, Version 2", "apache-2.0", True), ("under the MIT professor", "mit", False), ("licensed under the Apache License, Version 1.1", "apache-2.0", False)]
+    cases += [(f"licensed under the GNU {x} General Public License, version 3", "gpl-3.0", False) for x in ("Lesser", "Affero")] + [("made available under CC BY-NC-SA 4.0", x, False) for x in ("cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0")]
+    for label, w in short:
+        for k, x in enumerate(w):
+            telling = x in licenses.TELLING[label]
+            cases += [(" ".join([*w[:k], "qqq", *w[k + 1 :]]), label, not telling), (" ".join(w[:k] + w[k + 1 :]), label, not telling)]
+            cases += [(" ".join([*w[:k], "qqq", *w[k:]]), label, True)]
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan(make_docs([(i, f"some words before {t} and after", "s") for i, (t, _, _) in enumerate(cases)])).collect()}
+    assert [c for i, c in enumerate(cases) if (c[1] in found[i]) != c[2]] == []
+
+
 # --- 9 ---------------------------------------------------------------------
 
 
