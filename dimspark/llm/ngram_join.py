@@ -234,9 +234,19 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with one document of each component: that of the least doc_id."""
-    kept = link_documents(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """docs, all columns, with one row of each component: that of the least doc_id (null last), then text digest.
+
+    Of repeated rows one stays; rows without words link to none and all stay.
+    """
+    key = lambda: F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    linked = link_documents(docs.select(key().alias("doc_id"), "text"), **options)
+    kept = settle(linked.where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("__kept")).agg(F.least(F.count(F.lit(1)), F.max("n_copies")).alias("n")))
+    keyed = docs.withColumn("__key", key())
+    once = keyed.join(kept.where("n = 1"), F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(keyed.join(repeated, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,16 @@ def test_one_of_each_stays(odd):
     assert kept.columns == odd.columns and 4 in ids and 5 not in ids and 6 not in ids and 1 in ids and 2 in ids and ids.count(None) == 2
 
 
+def test_one_row_of_each_group_stays(make_docs, words):
+    rng = random.Random(13)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(100)) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a, "s"), (1, a, "s"), (1, near, "s"), (2, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (None, c, "s"), (3, c, "s"), (4, "", "s"), (4, "", "s"), (None, None, "s")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one_of_each(make_docs(rows)).collect()]
+    assert sum(t in (a, near) for _, t in kept) == 1 and all(i == 1 for i, t in kept if t in (a, near))
+    assert pairs(x for x in kept if x[1] not in (a, near)) == pairs([(None, b), (3, c), (4, ""), (4, ""), (None, None)])
+
+
 def test_depth_meets_recall():
     assert ngram_join.depth_for(ngram_join.RECALL, ngram_join.THRESHOLD, ngram_join.TREES, ngram_join.MAX_DEPTH) == 5
     d = ngram_join.depth_for(0.999, 0.8, 20, 8)
