@@ -1,12 +1,13 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding with exact verification.
 
 A document's shingles are its runs of five words (all its words, if they are fewer),
-hashed to 64 bits. Documents of equal shingle sets are one class. Each tree of the forest
-orders the classes by a signature of min-hashes, a trie; classes that share a prefix of
-the signature are candidates. The prefix is shortened, from `max_depth` on, until the
-chance that a pair at the threshold meets in some tree reaches `recall`. Candidates are
-verified on their whole shingle sets: pairs of small buckets one by one, large buckets in
-blocks, by matrix products, without a row for each pair.
+hashed to 64 bits. Documents of equal shingle sets are one class. Fixed bands of min-hashes
+replace an LSH forest: there are no sorted tries and no prefix is shortened pair by pair.
+Each band, called a tree here, has as many min-hashes as the longest prefix, up to
+`max_depth`, with which a pair at the threshold meets in some tree with the chance `recall`;
+classes that agree in a whole band are candidates. Candidates are verified on their whole
+shingle sets: pairs of small buckets one by one, large buckets in blocks, by matrix products,
+without a row for each pair.
 
 The links of a document are all other documents at the threshold or above, copies
 included; components join what is linked, directly or not.
