@@ -385,6 +385,18 @@ def registry_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default_registry().units_df(spark).where(F.col("symbol").isin("MWh", "km", "Btu", "deg", "kg")).select("symbol", "numerator", "denominator", "pi")
 
 
+@query()
+def registry_dimensions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dimension; a test holds it against the data file."""
+    return default_registry().dimensions_df(spark).select("name", "text")
+
+
+@query()
+def registry_units_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit that resolves; a test holds it against the data file."""
+    return default_registry().units_df(spark).select("symbol", "numerator", "denominator", "pi", "prefixed_from")
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
