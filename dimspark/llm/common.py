@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: A word, as every contract on words defines it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that Python objects are made of at a time, about.
+SLICE_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,10 +36,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Gives what a Python worker no longer uses back to its machine; workers wait long for their next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def map_rows(df: DataFrame, schema: StructType | str, fn: Callable[..., tuple], columns: list[str], slice_rows: int = 2000) -> DataFrame:
     """Applies fn(*values) to each row of the named columns and returns its tuples as rows of schema.
 
-    Batches are cut into slices of slice_rows rows, so that the Python side holds few texts at a time.
+    Batches are cut into slices of slice_rows rows, or about SLICE_BYTES, so that the Python side holds few texts at a time.
     """
     spark_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,11 +57,13 @@ def map_rows(df: DataFrame, schema: StructType | str, fn: Callable[..., tuple],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            step = max(1, min(slice_rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 out = [fn(*row) for row in zip(*(c.to_pylist() for c in part.columns))]
                 arrays = [pa.array(list(v), type=f.type) for v, f in zip(zip(*out), arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, spark_schema)
 

@@ -371,7 +371,7 @@ def test_one_row_of_each_group_stays(make_docs, words):
 
 
 def test_depth_meets_recall():
-    assert ngram_join.depth_for(ngram_join.RECALL, ngram_join.THRESHOLD, ngram_join.TREES, ngram_join.MAX_DEPTH) == 5
+    assert ngram_join.depth_for(ngram_join.RECALL, ngram_join.THRESHOLD, ngram_join.TREES) == 6
     d = ngram_join.depth_for(0.999, 0.8, 20, 8)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
 
