@@ -195,8 +195,8 @@ def homes_of(nodes: DataFrame, small: int) -> DataFrame:
     large = nodes.where(F.col("n") > small)
     placed = settle(large.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "key"))["key"].alias("home"), F.collect_list("key").alias("keys")))
     rows = placed.select("node", "n_shingles", "home", F.explode("keys").alias("key"))
-    there = rows.groupBy("key", F.col("home").alias("other")).agg(F.lit(1).alias("one")).drop("one").hint("rebalance")
-    return settle(rows.join(there, "key").groupBy("node", "n_shingles", "home").agg(F.collect_set("other").alias("others")))
+    there = rows.groupBy("key").agg(F.sort_array(F.collect_set("home")).alias("others")).hint("rebalance")
+    return settle(rows.join(there, "key").groupBy("node", "n_shingles", "home").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")))
 
 
 def block_rows_of(homes: DataFrame, block_rows: int) -> DataFrame:
