@@ -15,14 +15,16 @@ _loaded: dict[tuple[str, str | None], ByteTokens] = {}
 class ByteTokens:
     """The ids that `tokenizers` gives with the file at path.
 
-    ranks_path: the same vocabulary as ranks; plain texts then take the faster library.
+    ranks_path: the same vocabulary as ranks; plain texts then take the faster library, but for
+    those that hold the name of an added token, which is one id wherever it stands.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = None
         if ranks_path:
             import public_tokenizers
@@ -40,7 +42,7 @@ class ByteTokens:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit bytes."""
-        if self.fast is not None and _PLAIN.fullmatch(text):
+        if self.fast is not None and _PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
