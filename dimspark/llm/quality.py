@@ -1,14 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
 Word and line statistics of each text feed five directed rules. Each rule has a fixed
-grid of cutoffs, from lenient to strict. Labelled documents, which played no part in
-making the grids, form the holdout of their stratum (a language). A combination of
-cutoffs is admissible if the exact (Clopper-Pearson) upper bound on the share of good
-documents that it rejects stays within `limit`, at a confidence that is corrected, by
-Bonferroni, for every combination of cutoffs and for every stratum. Among admissible
-combinations a greedy pass takes the cutoffs that reject the most bad documents, each
-good one lost counting as `good_cost` bad ones. A stratum with too few labels to prove
-the bound gets no cutoffs and keeps what passes the base rules.
+grid of cutoffs, from lenient to strict. In each stratum (a language) a path of combinations,
+each rejecting all that the one before rejects, is laid out without a look at good labels:
+from bad labelled and from unlabelled documents, at each step the cutoff that catches the most
+bad ones for what it rejects of all. The good labelled documents are the holdout. Combinations
+are tested on it in the path's order: one passes if the exact (Clopper-Pearson) upper bound on the
+share of good documents that it rejects stays within `limit`, and the first that fails ends the
+tests. Fixed-sequence testing needs no further correction along the path; for the strata the
+confidence is corrected by Bonferroni. Of the combinations that passed, all of which keep the
+limit at once, that with the most bad documents caught is taken, each good one lost counting as
+`good_cost` bad ones. A stratum with too few labels to prove the bound gets no cutoffs and keeps
+what passes the base rules.
 
 Defined results: a null text has no words and fails the base; a null stratum is a
 stratum of its own (""); labels that are null or name no document are passed over, and
@@ -120,53 +123,65 @@ def upper_bound_within(rejected: int, total: int, limit: float, delta: float) ->
 
     That is so exactly if a binomial of rate limit has at most `rejected` with probability delta or less.
     """
-    if total <= 0:
+    if total <= 0 or rejected >= limit * total:
         return False
-    if rejected >= limit * total:
-        return False
-    k = np.arange(rejected, -1, -1, dtype=np.float64)
-    if len(k) > 200_000:  # the terms fall geometrically below the mode
-        k = k[:200_000]
-    lg = np.vectorize(math.lgamma, otypes=[float]) if len(k) < 2000 else None
-    if lg is not None:
-        logs = math.lgamma(total + 1) - lg(k + 1) - lg(total - k + 1) + k * math.log(limit) + (total - k) * math.log1p(-limit)
-    else:
-        first = math.lgamma(total + 1) - math.lgamma(rejected + 1) - math.lgamma(total - rejected + 1) + rejected * math.log(limit) + (total - rejected) * math.log1p(-limit)
-        steps = np.log(k[:-1]) - np.log(total - k[:-1] + 1) + math.log1p(-limit) - math.log(limit)
-        logs = first + np.concatenate([[0.0], np.cumsum(steps)])
-    top = float(logs.max())
-    return top + math.log(float(np.exp(logs - top).sum())) <= math.log(delta)
+    top = math.lgamma(total + 1) - math.lgamma(rejected + 1) - math.lgamma(total - rejected + 1) + rejected * math.log(limit) + (total - rejected) * math.log1p(-limit)
+    tail = term = 1.0  # relative to the greatest term; below the mode terms only fall
+    k = rejected
+    while k > 0 and term > 1e-17 * tail:
+        term *= k / (total - k + 1) * (1 - limit) / limit
+        tail += term
+        k -= 1
+    return top + math.log(tail) <= math.log(delta)
+
+
+def lay_path(hits: dict[str, np.ndarray], bad: np.ndarray, unlabelled: np.ndarray) -> list[dict[str, int]]:
+    """Combinations (rule: how many of its strictest-first cutoffs reject), each rejecting more than the one before.
+
+    hits, bad and unlabelled have an entry for each group of documents; good labels are not among them.
+    """
+    size = {rule: len(grid) for rule, (_, grid) in RULES.items()}
+    now, out, path = dict.fromkeys(RULES, 0), np.zeros(len(bad), bool), []
+    while True:
+        best = None
+        for rule in RULES:
+            for strict in range(now[rule] + 1, size[rule] + 1):
+                more = ~out & (size[rule] - hits[rule] < strict)
+                caught = int(bad[more].sum())
+                if caught:
+                    worth = (caught / (1 + int(unlabelled[more].sum())), caught)
+                    if best is None or worth > best[0]:
+                        best = worth, rule, strict
+        if best is None:
+            return path
+        _, rule, strict = best
+        now = now | {rule: strict}
+        out = out | (size[rule] - hits[rule] < strict)
+        path.append(now)
 
 
 def choose_cutoffs(counts: pd.DataFrame, n_strata: int, limit: float, delta: float, good_cost: float) -> dict:
     """The cutoffs of one stratum.
 
     counts: a column for each rule with the number of its cutoffs that reject (the strictest first),
-    quality (0 or 1) and n (documents).
+    quality (0 or 1; -1: not labelled) and n (documents).
     """
-    tests = math.prod(len(grid) + 1 for _, grid in RULES.values()) * max(1, n_strata)
-    good = counts["quality"].to_numpy() == 1
-    n = counts["n"].to_numpy()
-    total = int(n[good].sum())
-    out = np.zeros(len(counts), bool)
-    chosen: dict = {"n_good": total, "n_bad": int(n[~good].sum())}
-    for rule, (_, grid) in RULES.items():
-        hits = counts[rule].to_numpy()
-        best, pick = 0.0, 0
-        for strict in range(1, len(grid) + 1):
-            now = out | (len(grid) - hits < strict)  # a value that trips `hits` cutoffs trips the strictest ones
-            lost = int(n[now & good].sum())
-            if not upper_bound_within(lost, total, limit, delta / tests):
-                break
-            gain = float(n[now & ~good].sum() - n[out & ~good].sum()) - good_cost * float(lost - n[out & good].sum())
-            if gain > best:
-                best, pick = gain, strict
-        chosen[rule] = float(grid[pick - 1]) if pick else None
-        if pick:
-            out |= len(grid) - hits < pick
-    chosen["lost_good"] = int(n[out & good].sum())
-    chosen["caught_bad"] = int(n[out & ~good].sum())
-    return chosen
+    hits = {rule: counts[rule].to_numpy() for rule in RULES}
+    quality, n = counts["quality"].to_numpy(), counts["n"].to_numpy()
+    good, bad = np.where(quality == 1, n, 0), np.where(quality == 0, n, 0)
+    total = int(good.sum())
+    best, pick, kept = 0.0, dict.fromkeys(RULES, 0), (0, 0)
+    for combination in lay_path(hits, bad, np.where(quality < 0, n, 0)):
+        out = np.zeros(len(counts), bool)
+        for rule, strict in combination.items():
+            out |= len(RULES[rule][1]) - hits[rule] < strict
+        lost, caught = int(good[out].sum()), int(bad[out].sum())
+        if not upper_bound_within(lost, total, limit, delta / max(1, n_strata)):
+            break
+        if caught - good_cost * lost > best:
+            best, pick, kept = caught - good_cost * lost, combination, (lost, caught)
+    cutoffs = {rule: float(RULES[rule][1][strict - 1]) if strict else None for rule, strict in pick.items()}
+    return cutoffs | {"n_good": total, "n_bad": int(bad.sum()), "lost_good": kept[0], "caught_bad": kept[1]}
 
 
 def learn_thresholds(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "stratum", limit: float = 0.02, delta: float = 0.05, good_cost: float = 10.0) -> DataFrame:
@@ -177,16 +192,18 @@ def learn_thresholds(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id"
     marks = labels.where(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min("quality").alias("quality"))
     s = F.col("s")
     trips = [trips_of(rule_values(s)[rule], grid, high).alias(rule) for rule, (high, grid) in RULES.items()]
-    counted = settle(stats.where(~base_failed(s)).join(marks, doc_id).select(stratum, "quality", *trips).groupBy(stratum, "quality", *RULES).agg(F.count(F.lit(1)).alias("n")))
-    n_strata = counted.select(stratum).distinct().count()
+    judged = stats.where(~base_failed(s)).select(doc_id, stratum, *trips).join(marks, doc_id, "left")
+    counted = settle(judged.groupBy(stratum, F.coalesce("quality", F.lit(-1)).alias("quality"), *RULES).agg(F.count(F.lit(1)).alias("n")))
+    labelled = counted.where("quality = 1").select(stratum).distinct()
+    n_strata = labelled.count()
     names = [*RULES, "n_good", "n_bad", "lost_good", "caught_bad"]
 
     def choose(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = choose_cutoffs(part, n_strata, limit, delta, good_cost)
+        found = choose_cutoffs(part.sort_values([*RULES, "quality"]), n_strata, limit, delta, good_cost)
         return pd.DataFrame([{stratum: key[0]} | {k: found[k] for k in names}]).astype({r: "float64" for r in RULES})
 
     schema = f"{stratum} string, " + ", ".join(f"{r} double" for r in RULES) + ", n_good long, n_bad long, lost_good long, caught_bad long"
-    return settle(counted.groupBy(stratum).applyInPandas(choose, schema))
+    return settle(counted.join(labelled, stratum, "left_semi").groupBy(stratum).applyInPandas(choose, schema))
 
 
 def verdict(stats: DataFrame, thresholds: DataFrame, stratum: str = "stratum") -> DataFrame:
