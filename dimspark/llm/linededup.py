@@ -1,24 +1,28 @@
 """Reversible line deduplication.
 
-Exact reference counts (a signed log of line keys and the documents that hold them) say
-how many documents hold a line; cuckoo filters, one for each shard of the key space,
-hold the keys that many documents share and spare the exact tables most look-ups.
-Documents can be inserted and deleted; a deletion takes back exactly what the
-document's insertion added, in the log and in the filters.
+Exact reference counts (signed references of documents to line keys) say how many documents
+hold a line; cuckoo filters, one for each shard of the key space, hold the keys that many
+documents share. Lines meet the filter of their shard before the exact tables, so only those
+that may be shared are looked up: shards and lines are dealt to the same partitions, shard by
+shard, so no task and no broadcast holds more than the filter of one shard, whatever the size.
+Documents can be inserted and deleted; a deletion takes back exactly what the document's
+insertion added, in the references and in the filters.
 
 A key is the 128-bit BLAKE2b digest of the line, stripped of blanks at both
 ends and with A-Z in lower case; lines of under `min_chars` code points have no key.
 
 Defined results: a null or empty text is one empty line; every row counts as a document
-of its own, and rows that share a doc_id share its decisions; a null doc_id ranks below
-all others; where only null ids hold a line, rows of null id keep it; an empty table
-gives no rows. Only the named columns are read, so others may clash.
+of its own, repeated rows and rows that share a doc_id included, and rows that share a doc_id
+share its decisions; a null doc_id ranks below all others; where only null ids hold a line, rows
+of null id keep it; an empty table gives no rows. Only the named columns are read, so others
+may clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimspark.llm.common import read_table, settle
+from dimspark.llm.common import read_table, release_memory, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Keys in a shard of the filter, about.
 SHARD_KEYS = 200_000
-#: Filters of up to this many bytes in all are broadcast; beyond it every key goes to the exact join.
-BROADCAST_BYTES = 64 << 20
+#: Shards at most (the driver holds two numbers for each); beyond it shards grow.
+MAX_SHARDS = 1 << 20
 
 
 def line_key(line: bytes, min_chars: int = 20) -> bytes | None:
@@ -117,22 +121,20 @@ class CuckooFilter:
                 room = 2 * max(1, room) + 64
 
 
+def shards_for(n_keys: int) -> int:
+    return max(1, min(MAX_SHARDS, -(-n_keys // SHARD_KEYS)))
+
+
 def shard_of(n_shards: int):
     """The shard of the key column, from bytes that the filters don't use."""
     return F.pmod(F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long"), F.lit(n_shards)).cast("int")
 
 
-def shards_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
-    return np.ascontiguousarray(keys[:, 12:16]).view(">u4").ravel().astype(np.int64) % n_shards
-
-
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, probe=None) -> DataFrame:
-    """(key, doc_id): a row for each distinct line key of each row of docs; with probe, only keys that may be in the filters."""
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
+    """(key, doc_id): a row for each distinct line key of each row of docs."""
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = probe.value if probe is not None else None
-        tables = {k: CuckooFilter(0, np.frombuffer(b, np.uint16).reshape(-1, CuckooFilter.SLOTS)) for k, b in held[1].items()} if held else {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -143,21 +145,55 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_ch
                         own = {k for line in body.encode().split(b"\n") if (k := line_key(line, min_chars)) is not None}
                         keys += own
                         rows += [i] * len(own)
-                taken = np.asarray(rows, np.int64)
-                if held and keys:
-                    all_keys = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
-                    shard, hit = shards_of(all_keys, held[0]), np.zeros(len(keys), bool)
-                    for k, table in tables.items():
-                        own = np.flatnonzero(shard == k)
-                        hit[own] = table.contains(all_keys[own])
-                    keys, taken = [keys[j] for j in np.flatnonzero(hit)], taken[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(pa.array(taken))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(pa.array(rows, pa.int64()))], names=["key", "doc_id"])
+        release_memory()
 
     from pyspark.sql.types import BinaryType, StructType
 
     return docs.select(doc_id, text).mapInArrow(run, StructType().add("key", BinaryType()).add("doc_id", kind))
 
 
+def probe_shards(held: DataFrame, filters: DataFrame, n_shards: int, loads: DataFrame | None = None) -> DataFrame:
+    """The postings whose keys may be in the filter (shard, filter) of their shard.
+
+    loads: (shard, load), what is known of the postings of a shard; a shard with more than its
+    share is dealt to several partitions, by document, each with the filter.
+    """
+    spark = held.sparkSession
+    known = np.zeros(n_shards)
+    if loads is not None:
+        for r in loads.collect():
+            known[r["shard"]] = r["load"]
+    share = (known + max(1.0, known.mean())) / (known.sum() + n_shards * max(1.0, known.mean()))
+    splits = np.ceil(share * int(spark.conf.get("spark.sql.shuffle.partitions"))).astype(int)
+    first = np.concatenate([[0], np.cumsum(splits)])
+    table = F.broadcast(spark.createDataFrame([(k, int(first[k]), int(splits[k])) for k in range(n_shards)], "shard int, first int, splits int"))
+    rows = held.withColumn("shard", shard_of(n_shards)).join(table, "shard").select((F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("splits"))).cast("int").alias("part"), "key", "doc_id", F.lit(None).cast("binary").alias("filter"))
+    kind = held.schema["doc_id"].dataType
+    copies = filters.join(table, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)).alias("part"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast(kind).alias("doc_id"), "filter")
+    dealt = rows.unionByName(copies).repartitionById(int(first[-1]), "part").sortWithinPartitions("part", F.col("filter").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, of = None, -1
+        for batch in batches:
+            parts, is_filter = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            breaks = np.flatnonzero(is_filter | (np.diff(parts, prepend=-1) != 0) | np.concatenate([[False], is_filter[:-1]])).tolist()
+            for at, end in zip(breaks, [*breaks[1:], batch.num_rows]):
+                if is_filter[at]:
+                    of = parts[at]
+                    table = CuckooFilter(0, np.frombuffer(batch.column(3)[at].as_py(), np.uint16).reshape(-1, CuckooFilter.SLOTS))
+                elif of == parts[at]:  # a shard without a filter has no shared keys
+                    part = batch.slice(at, end - at)
+                    hit = table.contains(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 16))
+                    kept = part.filter(pa.array(hit))
+                    yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2)], names=["key", "doc_id"])
+        release_memory()
+
+    from pyspark.sql.types import BinaryType, StructType
+
+    return dealt.mapInArrow(run, StructType().add("key", BinaryType()).add("doc_id", kind))
+
+
 def reference_counts(log: DataFrame) -> DataFrame:
     """(key, n_docs, last_doc) from postings; with a column sign, from a signed log."""
     if "sign" not in log.columns:
@@ -200,26 +236,34 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
 class LineIndex:
     """The persisted state, in a folder that the cluster shares.
 
-    A batch is a folder of signed postings (+1 for documents that came, -1 for those that went)
-    and then a folder of filters that holds them. A batch counts once its filters are written:
-    what a lost driver left half done is overwritten by the next batch. A key enters its shard's
-    filter when its count reaches min_docs and leaves it when the count falls below, so a
-    deletion undoes an insertion in the log and in the filters alike.
+    A batch is a run: signed references (+1 for documents that came, -1 for those that went) in a
+    folder for each shard, and the filters of the shards that it changed. Runs of like sizes are
+    merged, so k batches leave about log2(k) runs and each reference is rewritten about
+    log2(k) times. A batch reads only the shards that its own keys fall in. It counts once its
+    manifest is written: what a lost driver left half done is overwritten by the next batch. A
+    key enters its shard's filter when its count reaches min_docs and leaves it when the count
+    falls below, so a deletion undoes an insertion in references and filters alike. Shards
+    follow the number of references: when they grow to twice SHARD_KEYS each, all is dealt anew.
+    Ids are whole numbers. Folders of merged runs stay until someone removes them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, min_chars: int = 20, n_shards: int = 16):
-        self.spark, self.path, self.min_docs, self.min_chars, self.n_shards = spark, path.rstrip("/"), min_docs, min_chars, n_shards
-        self.batch = self._last_batch()
+    #: Shards in a batch up to this many are named to the scan; with more, it reads all.
+    NAMED_SHARDS = 2_000
+    SCHEMA = "key binary, doc_id long, sign long, shard int"
 
-    def _last_batch(self) -> int:
-        """The number of batches that are whole: Spark marks a written folder with _SUCCESS."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        n = 0
-        while True:
-            mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/filters/{n + 1}/_SUCCESS")
-            if not mark.getFileSystem(conf).exists(mark):
-                return n
-            n += 1
+    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, min_chars: int = 20):
+        self.spark, self.path, self.min_docs, self.min_chars = spark, path.rstrip("/"), min_docs, min_chars
+        self.batch, self.n_shards, self.runs = 0, 0, []
+        while self._is_whole(f"{self.path}/manifest/{self.batch + 1}"):
+            self.batch += 1
+        if self.batch:
+            kept = spark.read.parquet(f"{self.path}/manifest/{self.batch}").first()
+            self.n_shards, self.runs = kept["n_shards"], [(r["name"], r["n_rows"]) for r in kept["runs"]]
+
+    def _is_whole(self, folder: str) -> bool:
+        """Spark marks a written folder with _SUCCESS."""
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
 
     def insert(self, docs: DataFrame) -> None:
         self._apply(docs, 1)
@@ -228,55 +272,100 @@ class LineIndex:
         """Takes the rows of docs, by their ids and texts, out of the counts and the filters."""
         self._apply(docs, -1)
 
-    def _log(self, last: int) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/log/{n}" for n in range(1, last + 1)]) if last else None
+    def references(self, shards: list[int] | None = None, runs: list[tuple[str, int]] | None = None) -> DataFrame:
+        """(shard, key, doc_id, sign) of the runs; with shards, of those alone."""
+        runs = self.runs if runs is None else runs
+        if not runs:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        found = reduce(DataFrame.unionByName, [self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{name}/references") for name, _ in runs])
+        return found.where(F.col("shard").isin(shards)) if shards is not None and len(shards) <= self.NAMED_SHARDS else found
+
+    def filters(self, runs: list[tuple[str, int]] | None = None) -> DataFrame:
+        """(shard, filter): the latest filter of each shard."""
+        runs = self.runs if runs is None else runs
+        if not runs:
+            return self.spark.createDataFrame([], "shard int, filter binary")
+        found = self.spark.read.parquet(*[f"{self.path}/{name}/filters" for name, _ in runs])
+        return found.groupBy("shard").agg(F.max_by("filter", "version").alias("filter"))
+
+    def counts(self) -> DataFrame:
+        return reference_counts(self.references())
+
+    def counts_of(self, keys: DataFrame) -> DataFrame:
+        """(key, n_docs, last_doc) of the distinct keys that documents refer to."""
+        return reference_counts(self.references(self._shards_of(keys)).join(keys, "key", "left_semi"))
+
+    def _shards_of(self, keys: DataFrame) -> list[int]:
+        return [r["shard"] for r in keys.select(shard_of(self.n_shards).alias("shard")).distinct().collect()]
+
+    def _write(self, name: str, references: DataFrame, filters: DataFrame) -> int:
+        placed = references.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+        placed.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{name}/references")
+        filters.withColumn("version", F.lit(self.batch + 1)).select("shard", "filter", "version").write.mode("overwrite").parquet(f"{self.path}/{name}/filters")
+        return self.spark.read.parquet(f"{self.path}/{name}/references").count()
 
     def _apply(self, docs: DataFrame, sign: int) -> None:
         n = self.batch + 1
-        postings(docs, min_chars=self.min_chars).withColumn("sign", F.lit(sign)).write.mode("overwrite").parquet(f"{self.path}/log/{n}")
-        now = reference_counts(self._log(n)).select("key", F.col("n_docs").alias("after"))
-        before = reference_counts(self._log(self.batch)).select("key", F.col("n_docs").alias("before")) if self.batch else now.select("key", F.lit(0).alias("before")).limit(0)
-        touched = self.spark.read.parquet(f"{self.path}/log/{n}").select("key").distinct()
-        moved = settle(touched.join(now, "key", "left").join(before, "key", "left").select("key", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after")))
+        fresh = settle(postings(docs, min_chars=self.min_chars).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.lit(sign).cast("long").alias("sign")))
+        total = fresh.count() + sum(rows for _, rows in self.runs)
+        runs = list(self.runs)
+        if not self.n_shards or total > 2 * SHARD_KEYS * self.n_shards and self.n_shards < MAX_SHARDS:
+            self._deal(fresh, total, n)
+            return
+        batch = fresh.withColumn("shard", shard_of(self.n_shards))
+        touched = settle(batch.select("key", "shard").distinct())
+        old = self.references([r["shard"] for r in touched.select("shard").distinct().collect()]).join(touched.select("key"), "key", "left_semi")
+        both = old.select("key", "doc_id", F.col("sign").alias("old"), F.lit(0).cast("long").alias("new")).unionByName(batch.select("key", "doc_id", F.lit(0).cast("long").alias("old"), F.col("sign").alias("new")))
+        net = both.groupBy("key", "doc_id").agg(F.sum("old").alias("old"), F.sum(F.col("old") + F.col("new")).alias("now"))
+        moved = settle(net.groupBy("key").agg(F.sum(F.greatest("old", F.lit(0))).alias("before"), F.sum(F.greatest("now", F.lit(0))).alias("after")))
         added = moved.where((F.col("before") < self.min_docs) & (F.col("after") >= self.min_docs)).select("key")
         removed = moved.where((F.col("before") >= self.min_docs) & (F.col("after") < self.min_docs)).select("key")
-        old = self.filters() if self.batch else self.spark.createDataFrame([], "shard int, filter binary")
-        made = settle(update_filters(old, added, removed, self.n_shards))
-        if made.where("filter is null").isEmpty():
-            untouched = old.join(made.select("shard"), "shard", "left_anti")
-            made = made.unionByName(untouched)
-        else:  # a shard is full: all are made anew, with room
-            made = build_filters(reference_counts(self._log(n)).where(F.col("n_docs") >= self.min_docs), self.n_shards)
-        made.write.mode("overwrite").parquet(f"{self.path}/filters/{n}")
-        self.batch = n
-
-    def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters/{self.batch}")
-
-    def counts(self) -> DataFrame:
-        log = self._log(self.batch)
-        return reference_counts(log if log is not None else self.spark.createDataFrame([], "key binary, doc_id long, sign int"))
+        changed = settle(update_filters(self.filters(), added, removed, self.n_shards))
+        full = [r["shard"] for r in changed.where("filter is null").select("shard").collect()]
+        if full:  # made anew, with room
+            rows = self.references(full).unionByName(batch).where(F.col("shard").isin(full))
+            changed = changed.where("filter is not null").unionByName(build_filters(reference_counts(rows).where(F.col("n_docs") >= self.min_docs), self.n_shards))
+        runs.append((f"run-{n}-{n}", self._write(f"run-{n}-{n}", batch, changed)))
+        while len(runs) > 1 and runs[-2][1] <= 2 * runs[-1][1]:
+            pair = runs[-2:]
+            name = f"run-{pair[0][0].split('-')[1]}-{n}"
+            merged = self.references(runs=pair).groupBy("shard", "key", "doc_id").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+            runs[-2:] = [(name, self._write(name, merged, self.filters(runs=pair)))]
+        self._commit(runs, n)
+
+    def _deal(self, fresh: DataFrame, total: int, n: int) -> None:
+        """All references and filters anew, in as many shards as they need."""
+        rows = self.references().select("key", "doc_id", "sign").unionByName(fresh) if self.runs else fresh
+        n_shards = shards_for(total)
+        merged = rows.groupBy("key", "doc_id").agg(F.sum("sign").alias("sign")).where("sign <> 0").withColumn("shard", shard_of(n_shards))
+        made = build_filters(reference_counts(merged).where(F.col("n_docs") >= self.min_docs), n_shards)
+        rows = self._write(f"run-1-{n}", settle(merged), settle(made))
+        self.n_shards = n_shards
+        self._commit([(f"run-1-{n}", rows)], n)
+
+    def _commit(self, runs: list[tuple[str, int]], n: int) -> None:
+        self.spark.createDataFrame([(self.n_shards, runs)], "n_shards int, runs array<struct<name: string, n_rows: long>>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{n}")
+        self.batch, self.runs = n, runs
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        return dedup_lines(docs, self.min_docs, self.min_chars, self.counts(), filters=(self.n_shards, self.filters()) if self.batch else None)
+        return dedup_lines(docs, self.min_docs, self.min_chars, index=self if self.batch else None)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, counts: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None, filters: tuple[int, DataFrame] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: list[str] | None = None, index: LineIndex | None = None) -> DataFrame:
     """The rows of docs without lines that min_docs documents share, except in the last document that holds them.
 
     Returns the columns keep (doc_id, unless named), n_lines, n_dropped and kept_text.
-    counts: the reference counts to decide by; otherwise those of docs itself. filters: the
-    number of shards and the filters of those counts, where they are at hand.
+    index: decides by its filters and references; otherwise docs decide by their own.
     """
-    spark = docs.sparkSession
-    shared = settle((counts if counts is not None else reference_counts(postings(docs, min_chars=min_chars))).where(F.col("n_docs") >= min_docs))
-    n_shared = shared.count()
-    probe = None
-    if n_shared * 5 <= broadcast_bytes:  # 2 bytes a slot, at a load of 0.42 at least
-        n_shards, made = filters or (n := max(1, -(-n_shared // SHARD_KEYS)), build_filters(shared, n))
-        tables = {r["shard"]: bytes(r["filter"]) for r in made.collect()}
-        probe = spark.sparkContext.broadcast((n_shards, tables))
-    hits = postings(docs, min_chars=min_chars, probe=probe)
+    held = postings(docs, min_chars=min_chars)
+    if index is not None:
+        hits = settle(probe_shards(held, index.filters(), index.n_shards))
+        shared = settle(index.counts_of(hits.select("key").distinct()).where(F.col("n_docs") >= min_docs))
+    else:
+        shared = settle(reference_counts(held).where(F.col("n_docs") >= min_docs))
+        n_shards = shards_for(shared.count())
+        loads = shared.groupBy(shard_of(n_shards).alias("shard")).agg(F.sum("n_docs").alias("load"))
+        hits = probe_shards(held, build_filters(shared, n_shards), n_shards, loads)
     dropped = hits.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc_id", "__id")
     keep = keep or ["doc_id"]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), F.col("doc_id").alias("__doc_id"), F.col("text").alias("__text"))
@@ -318,12 +407,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH blanks AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS b),
-parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM parts),
-keyed AS (SELECT doc_id, i, line, translate(trim(line, b), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines, blanks),
-shared AS (SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT keyed.*, shared.k IS NOT NULL AND last_doc <> doc_id AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
+parts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM parts),
+keyed AS (SELECT r, doc_id, i, line, translate(trim(line, b), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines, blanks),
+shared AS (SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3),
+marked AS (SELECT keyed.*, shared.k IS NOT NULL AND last_doc IS DISTINCT FROM doc_id AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
