@@ -2,17 +2,18 @@
 
 Every document has a seeded 64-bit rank; the documents of a source that share its top
 bits are a block, so blocks come in permuted order and number at most 4096 a source. A
-source's target is met by whole passes over its blocks and a last, partial pass, whose
-end is found exactly by three histograms of finer and finer ranks. The blocks drawn from
-each source are shared out among the output shards by a binary tree: at each node a
-multivariate hypergeometric draw decides how many blocks of each source go left. A leaf
-walks from the root by itself, since every node seeds its own generator; what it leaves
-to its left is where its own disjoint range of blocks begins. Inside a shard documents
-are ordered by another seeded rank.
+source's target makes its block quota: whole passes over its blocks and the blocks of a
+last, partial pass. The quotas of all sources are shared out among the output shards by a
+binary tree: at each node a multivariate hypergeometric draw decides how many blocks of each
+source go left. A leaf walks from the root by itself, since every node seeds its own
+generator; what it leaves to its left is where its own disjoint range of blocks begins. A
+document is taken as often as shards drew its block; the last block of a quota is trimmed to
+the target, at a rank that three histograms of finer and finer ranks find. Inside a shard
+documents are ordered by another seeded rank.
 
 Decisions are functions of a row and of a table with one row for each source, which the
-weights name one by one and so is of the size of this operator's own argument. Planning
-never moves texts; drawing the mix, in the pipeline, moves each once for each time it is drawn.
+driver holds (about 300 bytes each). Planning never moves texts; drawing the mix, in the
+pipeline, moves each once for each time it is drawn.
 
 Defined results: a null text has no words; a null source is a source, after all others;
 a document without words takes part with none; where one rank holds many identical rows
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from dimspark.llm.common import WORD, read_table, settle
 
-#: Sources of up to this many are joined by broadcasting their table (about 100 bytes each).
-BROADCAST_SOURCES = 100_000
+#: Tables of sources and of their blocks are broadcast up to so many bytes, at ROW_BYTES a row; larger ones are joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 150
 BITS = 12
 BLOCKS = 1 << BITS
 #: Rows of a shard that are sorted and written in one part, about.
@@ -90,7 +91,7 @@ def low_bits() -> Column:
 
 
 def _join_sources(df: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    table = F.broadcast(table) if n <= BROADCAST_SOURCES else table
+    table = F.broadcast(table) if n * ROW_BYTES <= BROADCAST_BYTES else table
     return df.join(table, F.col("__mix_source").eqNullSafe(F.col("__mix_key")), "left").drop("__mix_key")
 
 
@@ -125,8 +126,7 @@ def plan_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float], sha
     want = plan["target"].round().astype("int64")
     plan["full"] = np.where(plan["size"] > 0, want // plan["size"].clip(lower=1), 0).astype("int64")
     plan["rest"] = (want - plan["full"] * plan["size"]).astype("int64")
-    plan["at1"] = plan["at2"] = -1
-    plan["at3"], plan["partial"] = np.int64(-1), np.int64(0)
+    ends = pd.DataFrame({"id": [], "at1": [], "at2": [], "at3": [], "partial": []}, dtype="int64")
     keyed = spark.createDataFrame([(r[0], i) for i, r in enumerate(rows)], "__mix_key string, __mix_id int")
     ranked = _join_sources(ranked, keyed, len(rows))
     blocks = settle(ranked.groupBy("__mix_id", "__mix_block").agg(F.sum("__mix_size").alias("words")))
@@ -139,25 +139,21 @@ def plan_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float], sha
         finest = ranked.join(F.broadcast(spark.createDataFrame(both[["id", "at1", "at2"]], "__mix_nid int, at1 int, at2 int")), (F.col("__mix_id") == F.col("__mix_nid")) & (F.col("__mix_block") == F.col("at1")) & (F.col("__mix_part") == F.col("at2")))
         by_rank = finest.groupBy("__mix_id", low_bits().alias("low")).agg(F.sum("__mix_size").alias("words"), F.count(F.lit(1)).alias("n"))
         three = _crossings(by_rank, "low", two.rename(columns={"left": "rest"}))
-        for x in both.merge(three.rename(columns={"left": "end"}), on="id").itertuples():
-            plan.loc[plan["id"] == x.id, ["at1", "at2", "at3", "partial"]] = [int(x.at1), int(x.at2), int(x.at), int(x.end // x.n)]
+        ends = both[["id", "at1", "at2"]].merge(three.rename(columns={"at": "at3"}), on="id")
+        ends["partial"] = ends["left"] // ends["n"]
+    plan = plan.merge(ends[["id", "at1", "at2", "at3", "partial"]], on="id", how="left")
+    plan = plan.fillna({"at1": -1, "at2": -1, "at3": -1, "partial": 0}).astype(dict.fromkeys(("at1", "at2", "at3", "partial"), "int64"))
     table = spark.createDataFrame([(r.key if isinstance(r.key, str) else None, int(r.id), int(r.size), float(r.target), int(r.full), int(r.at1), int(r.at2), int(r.at3), int(r.partial)) for r in plan.itertuples()], "__mix_key string, __mix_id int, __mix_source_size long, __mix_target double, __mix_full long, __mix_at1 int, __mix_at2 int, __mix_at3 long, __mix_partial long")
     places = block_places(blocks, plan, n_shards, seed)
     mixed = _join_sources(_ranked(docs, doc_id, text, source, seed), table, len(rows))
-    low = low_bits()
-    b, p, c = F.col("__mix_block"), F.col("__mix_part"), F.col
-    earlier = (b < c("__mix_at1")) | ((b == c("__mix_at1")) & ((p < c("__mix_at2")) | ((p == c("__mix_at2")) & (low < c("__mix_at3")))))
-    ends_here = (b == c("__mix_at1")) & (p == c("__mix_at2")) & (low == c("__mix_at3"))
-    last = F.when(earlier, c("__mix_size")).when(ends_here, F.least("__mix_size", "__mix_partial")).otherwise(F.lit(0)).cast("long")
-    zero = F.lit(0).cast("long")
-    mixed = mixed.withColumns({
-        "__mix_first": F.when(c("__mix_full") >= 1, c("__mix_size")).otherwise(last),
-        "__mix_second": F.when(c("__mix_full") >= 2, c("__mix_size")).when(c("__mix_full") == 1, last).otherwise(zero),
-        "__mix_order": F.xxhash64(F.lit(seed + 1), "__mix_rank"),
-    })
-    n_places = min(len(rows) * BLOCKS, 1 << 40)
-    places = F.broadcast(places) if n_places <= 1_000_000 else places
-    return mixed.join(places, (F.col("__mix_id") == F.col("__mix_pid")) & (F.col("__mix_block") == F.col("__mix_pblock")), "left").drop("__mix_pid", "__mix_pblock")
+    places = F.broadcast(places) if len(rows) * BLOCKS * ROW_BYTES <= BROADCAST_BYTES else places
+    mixed = mixed.join(places, (F.col("__mix_id") == F.col("__mix_pid")) & (F.col("__mix_block") == F.col("__mix_pblock")), "left").drop("__mix_pid", "__mix_pblock")
+    low, part, c = low_bits(), F.col("__mix_part"), F.col
+    earlier = (c("__mix_block") != c("__mix_at1")) | (part < c("__mix_at2")) | ((part == c("__mix_at2")) & (low < c("__mix_at3")))
+    ends_here = (part == c("__mix_at2")) & (low == c("__mix_at3"))
+    trimmed = F.when(earlier, c("__mix_size")).when(ends_here, F.least("__mix_size", "__mix_partial")).otherwise(F.lit(0))
+    words = lambda k: F.when(c("__mix_shards")[k].isNull(), 0).when(c("__mix_full") > k, c("__mix_size")).otherwise(trimmed).cast("long")  # noqa: E731 - what a shard drew of pass k; the pass after the whole ones is trimmed
+    return mixed.withColumns({"__mix_first": words(0), "__mix_second": words(1), "__mix_order": F.xxhash64(F.lit(seed + 1), "__mix_rank")})
 
 
 def block_places(blocks: DataFrame, plan: pd.DataFrame, n_shards: int, seed: int) -> DataFrame:
@@ -193,34 +189,34 @@ def rank_weights(i: int, name: str | None) -> float:
     return (3.0, 1.0, 2.0)[i % 3]
 
 
-def mix_documents(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, n_shards: int = 16, **options) -> DataFrame:
-    """docs, all columns, as the mix has them: a row for each pass that takes at least half of its words.
+def deal(drawn: DataFrame, n_shards: int, n_docs: int) -> DataFrame:
+    """drawn, with a struct d of shard and place: a partition holds an even part of a shard, in the order of places.
 
-    A partition holds an even part of a shard, in shuffled order; a shard's parts follow each
-    other in that order, as do the files when the rows are written.
+    A shard's parts follow each other in that order, as do the files when the rows are written.
     """
+    parts = max(1, -(-2 * n_docs // (n_shards * PART_ROWS)))
+    top = F.shiftright(F.col("d.place"), 32) * parts  # the part of a shard, times 2**31
+    at = (F.col("d.shard") * parts + F.shiftright(top, 31)).cast("int")
+    return drawn.repartitionById(n_shards * parts, at).sortWithinPartitions("d.place")
+
+
+def mix_documents(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, n_shards: int = 16, **options) -> DataFrame:
+    """docs, all columns, as the mix has them, dealt and in order: a row for each pass that takes at least half of its words."""
     own = docs.columns
     planned = plan_mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own"), "doc_id", "text", "source"), weight_of, n_shards=n_shards, **options)
     half = lambda c: F.when(F.col("__mix_size") > 0, 2 * F.col(c) >= F.col("__mix_size")).otherwise(F.lit(c == "__mix_first"))
     shard = lambda k: F.coalesce(F.col("__mix_shards")[k], F.pmod("__mix_order", F.lit(n_shards))).cast("int")  # noqa: E731 - a document without words can be in a block that is not drawn
     passes = F.array(*[F.struct(half(c).alias("drawn"), shard(k).alias("shard"), place(F.lit(k)).alias("place")) for k, c in enumerate(("__mix_first", "__mix_second"))])
-    drawn = planned.select("__own", F.explode(passes).alias("d")).where("d.drawn")
-    parts = max(1, -(-2 * docs.count() // (n_shards * PART_ROWS)))
-    top = F.shiftright(F.col("d.place"), 32) * parts  # the part of a shard, times 2**31
-    at = (F.col("d.shard") * parts + F.shiftright(top, 31)).cast("int")
-    return drawn.repartitionById(n_shards * parts, at).sortWithinPartitions("d.place").select("__own.*")
+    return deal(planned.select("__own", F.explode(passes).alias("d")).where("d.drawn"), n_shards, docs.count()).select("__own.*")
 
 
 def draw_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float] = rank_weights, n_shards: int = 16, **options) -> DataFrame:
-    """The mix itself: docs' columns as a struct doc, with words (taken, from the text's start), pass, shard and place.
-
-    A partition holds a shard's rows, or several shards', in the shuffled order of each shard.
-    """
+    """The mix itself, dealt and in order: docs' columns as a struct doc, with words (taken, from the text's start), pass, shard and place."""
     own = docs.columns
     planned = plan_mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "doc_id", "text", "source"), weight_of, n_shards=n_shards, **options)
-    passes = F.array(*[F.struct(F.lit(k).alias("pass"), F.col(c).alias("words"), F.col("__mix_shards")[k].alias("shard")) for k, c in enumerate(("__mix_first", "__mix_second"))])
-    drawn = planned.select("doc", "__mix_order", F.explode(passes).alias("d")).select("doc", "d.words", "d.pass", "d.shard", place(F.col("d.pass")).alias("place"))
-    return drawn.where("words > 0").repartition(n_shards, "shard").sortWithinPartitions("shard", "place")
+    passes = F.array(*[F.struct(F.lit(k).alias("pass"), F.col(c).alias("words"), F.col("__mix_shards")[k].alias("shard"), place(F.lit(k)).alias("place")) for k, c in enumerate(("__mix_first", "__mix_second"))])
+    drawn = planned.select("doc", F.explode(passes).alias("d")).where("d.words > 0")
+    return deal(drawn, n_shards, docs.count()).select("doc", "d.words", "d.pass", "d.shard", "d.place")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
