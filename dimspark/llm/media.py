@@ -20,6 +20,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dimspark.llm.common import map_rows, read_table
 
@@ -209,52 +210,66 @@ def payload_to_image(payload: bytes) -> np.ndarray:
     return np.frombuffer(full, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
 
 
+ENCODERS = {"ppm": encode_netpbm, "bmp": encode_bmp}
+DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, npy_sha256 string"
+
+
+def stored_form(payload: bytes | None, container: str = "ppm") -> bytes:
+    """The stored image of a payload."""
+    return ENCODERS[container](payload_to_image(payload or b""))
+
+
+def digests_of(stored: bytes, side: int = 32) -> tuple:
+    """The DIGESTS of an image, all from its stored bytes."""
+    image = decode(stored)
+    body = image.tobytes()
+    return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{difference_hash(image):016x}", hashlib.sha256(tile(image, side)).hexdigest()
+
+
 def store_media(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("doc_id",), container: str = "ppm") -> DataFrame:
     """The columns keep, n_bytes (of the unpadded payload) and media (the stored image)."""
-    encode = {"ppm": encode_netpbm, "bmp": encode_bmp}[container]
     fields = df.select(*keep).schema
-
-    def run(*row):
-        body = row[-1] or b""
-        return (*row[:-1], len(body), encode(payload_to_image(body)))
-
+    run = lambda *row: (*row[:-1], len(row[-1] or b""), stored_form(row[-1], container))
     return map_rows(df.withColumn(payload, F.col(payload).cast("binary")), fields.add("n_bytes", "long").add("media", "binary"), run, [*keep, payload])
 
 
 def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes"), digest: bool = False, side: int = 32, strict: bool = True) -> DataFrame:
     """Decodes the stored images.
 
-    Returns keep, payload (the samples as bytes), width, height, npy (the tile) and
-    dhash (hexadecimal); with digest, only digests of payload, media and tile.
+    Returns keep, payload (the samples as bytes), width, height, npy (the tile), dhash
+    (hexadecimal) and npy_sha256; with digest, the DIGESTS of payload, media and tile.
     """
     schema = df.select(*keep).schema
-    names = ("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string" if digest else "payload binary, width int, height int, npy binary") + ", dhash string, npy_sha256 string"
-    from pyspark.sql.types import StructType
-
-    for f in StructType.fromDDL(names):
+    for f in StructType.fromDDL(DIGESTS if digest else "payload binary, width int, height int, npy binary, dhash string, npy_sha256 string"):
         schema = schema.add(f)
     width = len(schema) - len(keep)
 
     def run(*row):
-        stored = row[-1]
+        stored = row[-1] if row[-1] is not None else b""
         try:
-            image = decode(stored if stored is not None else b"")
+            if digest:
+                return *row[:-1], *digests_of(stored, side)
+            image = decode(stored)
         except (ValueError, struct.error):
             if strict:
                 raise
             return (*row[:-1], *[None] * width)
         npy = tile(image, side)
-        last = f"{difference_hash(image):016x}", hashlib.sha256(npy).hexdigest()
-        body = image.tobytes()
-        if digest:
-            return (*row[:-1], len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), *last)
-        return (*row[:-1], body, image.shape[1], image.shape[0], npy, *last)
+        return (*row[:-1], image.tobytes(), image.shape[1], image.shape[0], npy, f"{difference_hash(image):016x}", hashlib.sha256(npy).hexdigest())
 
     return map_rows(df, schema, run, [*keep, media], 500)
 
 
+def digest_media(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("doc_id",), container: str = "ppm") -> DataFrame:
+    """`read_media` with digest of `store_media`, in one pass: each image is stored, and read back from its stored bytes, where it is made."""
+    schema = df.select(*keep).schema.add("n_bytes", "long")
+    for f in StructType.fromDDL(DIGESTS):
+        schema = schema.add(f)
+    run = lambda *row: (*row[:-1], len(row[-1] or b""), *digests_of(stored_form(row[-1], container)))
+    return map_rows(df.withColumn(payload, F.col(payload).cast("binary")), schema, run, [*keep, payload], 500)
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("payload"))
-    found = read_media(store_media(docs), digest=True)
     feature = F.concat_ws(":", F.lit("dhash"), "dhash", F.lit("npy"), F.substring("npy_sha256", 1, 16)).alias("feature")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+    return digest_media(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
