@@ -1,10 +1,11 @@
 """License scans by diagonal voting.
 
-All rolling three-word grams of the texts are joined by hash, then word by word, with their
-positions in templates. A match votes for a diagonal, the difference of both positions;
-neighbouring diagonals (words put in or left out) are merged, and a merged span is verified
-by the share of the template's grams that it holds in a stretch not much longer than the
-template. Short templates, whose grams an edit of one word can break all, are also looked for
+One pass over a text hashes all its rolling three-word grams and keeps those whose hash a template
+has; they are joined by hash, then word by word, with their positions in templates. A match votes
+for a diagonal, the difference of both positions; neighbouring diagonals (words put in or left
+out) are merged, and a merged span is verified by aligning its matches: the share of the
+template's grams that follow each other in the same order in a stretch not much longer than the
+template, each counted once. Short templates, whose grams an edit of one word can break all, are also looked for
 word by word around a word that tells them from others; such spans have no share. The base phrases are templates of one gram; "cc by" is a gram of two words.
 
 DataFrame functions only; the templates are a constant of this module (or the caller's
@@ -26,8 +27,8 @@ from dimspark.llm.common import read_table, settle, text_key
 
 #: Words, once A-Z are in lower case: runs of digits, small letters and whatever is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are put in lower case.
-WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same pattern with each character named, which the regular expressions of the JVM look up in a table.
+WORD_NAMED = "[^" + "".join(rf"\x{c:02X}" for c in range(128) if not (chr(c).isdigit() or chr(c).islower())) + "]+"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 #: Label and wording of license statements, fixed values.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -85,67 +86,93 @@ def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return made.withColumn("t_hash", _gram_hash(F.col("a"), F.col("b"), F.col("c")))
 
 
-def edited_spans(worded: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(key, label, first, last): short templates with a share of LEAST_SHARE of their words, each within SLACK of its place.
+def lower_ascii(text: Column) -> Column:
+    """A text with A-Z, and no other letters, in lower case; the fast function where a text has no others."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, capitals, capitals.lower()))
 
-    worded: key and w, the words. Places are counted from a template's first telling word. All
-    telling words must be there, and between the first and last word no word of OTHERS that the
-    template does not have.
-    """
+
+def short_templates(templates) -> list[tuple]:
+    """(anchor, label, words, the anchor's place, places of telling words, words of others) of each short template."""
     short = []
     for label, text in templates:
         words = words_of(text)
         tell = TELLING.get(label, ())
         if len(words) - 2 <= SHORT_GRAMS and tell and set(tell) <= set(words):
             short.append((tell[0], label, words, words.index(tell[0]), [words.index(x) for x in tell], [x for x in OTHERS if x not in words]))
-    known = F.broadcast(worded.sparkSession.createDataFrame(short, "anchor string, label string, t array<string>, place int, tell array<int>, others array<string>"))
-    anchors = F.array(*[F.lit(x) for x in sorted({x[0] for x in short})]).cast("array<string>")
-    at = worded.where(F.arrays_overlap("w", anchors)).select("key", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(anchors, F.get("w", i)))).alias("pos"))
+    return short
+
+
+def match_words(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, key, n_words, hits (grams whose hash a template has) and near (windows around telling words) of each row."""
+    known = [r["t_hash"] for r in template_grams(docs.sparkSession, templates).select("t_hash").distinct().collect()]
+    short = short_templates(templates)
+    before = max((x[3] for x in short), default=0) + SLACK
+    width = before + max((len(x[2]) for x in short), default=0) + SLACK
+    worded = docs.select(F.col(doc_id).alias("doc_id"), text_key(doc_id, text).alias("key"), F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD_NAMED), F.lit(0)).alias("w"))
+    w = lambda i: F.get("w", i)
+    gram = lambda i: F.xxhash64(w(i), w(i + 1), w(i + 2)).isin(known) | ((w(i) == "cc") & (w(i + 1) == "by"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 2), gram)
+    hits = F.when(F.size("w") > 1, F.transform(places, lambda i: F.struct(i.alias("pos"), w(i).alias("x"), w(i + 1).alias("y"), w(i + 2).alias("z"))))
+    begin = lambda i: F.greatest(i - before, F.lit(0))
+    anchors = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: w(i).isin(sorted({x[0] for x in short})))
+    near = F.when(F.size("w") > 0, F.transform(anchors, lambda i: F.struct(i.alias("pos"), begin(i).alias("begin"), F.slice("w", begin(i) + 1, width).alias("v"))))
+    return worded.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), hits.alias("hits"), near.alias("near"))
+
+
+def edited_spans(matched: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(key, label, first, last): short templates with a share of LEAST_SHARE of their words, each within SLACK of its place.
+
+    Places are counted from a template's first telling word. All telling words must be there, and
+    between the first and last word no word of OTHERS that the template does not have.
+    """
+    short = short_templates(templates)
+    known = F.broadcast(matched.sparkSession.createDataFrame(short, "anchor string, label string, t array<string>, place int, tell array<int>, others array<string>"))
+    at = matched.select("key", F.explode("near").alias("n")).select("key", "n.pos", F.col("n.begin").alias("base"), F.col("n.v").alias("v"))
     begin = F.greatest(F.col("pos") - F.col("place") - SLACK, F.lit(0))
-    window = F.slice("w", begin + 1, F.col("pos") - F.col("place") + F.size("t") + SLACK - begin)
-    near = at.join(known, F.get("w", F.col("pos")) == F.col("anchor")).select("key", "label", "t", "tell", "others", begin.alias("begin"), (F.col("pos") - F.col("place")).alias("diagonal"), window.alias("v"))
+    window = F.slice("v", begin - F.col("base") + 1, F.col("pos") - F.col("place") + F.size("t") + SLACK - begin)
+    near = at.join(known, F.get("v", F.col("pos") - F.col("base")) == F.col("anchor")).select("key", "label", "t", "tell", "others", begin.alias("begin"), (F.col("pos") - F.col("place")).alias("diagonal"), window.alias("v"))
     hits = F.expr(f"transform(sequence(0, size(t) - 1), i -> filter(sequence(0, size(v) - 1), j -> v[j] = t[i] and abs(begin + j - diagonal - i) <= {SLACK}))")
     near = near.withColumn("hits", hits).withColumns({"held": F.expr("size(filter(hits, h -> size(h) > 0))"), "low": F.expr("array_min(transform(hits, h -> array_min(h)))"), "high": F.expr("array_max(transform(hits, h -> array_max(h)))")})
     good = (F.col("held") >= LEAST_SHARE * F.size("t")) & F.expr("forall(tell, i -> size(hits[i]) > 0)") & F.expr("not arrays_overlap(slice(v, low + 1, high - low + 1), others)")
     return near.where(good).select("key", "label", (F.col("begin") + F.col("low")).alias("first"), (F.col("begin") + F.col("high")).alias("last"))
 
 
-def find_spans(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, label, base, first, last, share, verified): merged and verified spans, positions in words."""
-    body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words_in = lambda rows: rows.select(text_key(doc_id, text).alias("key"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 1)
-    at = words_in(docs).select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("pos"))
-    x, y, z = F.get("w", F.col("pos")), F.get("w", F.col("pos") + 1), F.get("w", F.col("pos") + 2)
-    grams = at.select("key", "pos", x.alias("x"), y.alias("y"), z.alias("z"), _gram_hash(x, y, z).alias("hash"))
-    known = F.broadcast(template_grams(docs.sparkSession, templates))
+def spans_of(matched: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(key, label, base, first, last, share, verified): merged and verified spans of `match_words`, positions in words."""
+    grams = matched.select("key", F.explode("hits").alias("h")).select("key", "h.*").withColumn("hash", _gram_hash(F.col("x"), F.col("y"), F.col("z")))
+    known = F.broadcast(template_grams(matched.sparkSession, templates))
     same = (F.col("hash") == F.col("t_hash")) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")) & (F.col("c").isNull() | (F.col("z") == F.col("c")))
-    votes = grams.join(known, same).groupBy("key", "template", "label", "base", "grams", "words", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count_distinct("place").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = grams.join(known, same).groupBy("key", "template", "label", "base", "grams", "words", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
     step = F.expr("diagonal - lag(diagonal) over (partition by key, template order by diagonal)")
     fresh = F.when(F.col("base") | step.isNull() | (step > SLACK), 1).otherwise(0)
     chained = votes.withColumn("fresh", fresh).withColumn("span", F.expr("sum(fresh) over (partition by key, template order by diagonal rows between unbounded preceding and current row)"))
-    merged = chained.groupBy("key", "template", "label", "base", "grams", "words", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
+    matches = F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), (p + F.col("diagonal")).alias("pos"))))
+    merged = chained.groupBy("key", "template", "label", "base", "grams", "words", "span").agg(F.array_sort(F.flatten(matches)).alias("m"))
+    ordered = "aggregate(m, struct(-1 as place, -1 as pos, 0 as n), (a, x) -> if(x.place > a.place and x.pos > a.pos, struct(x.place as place, x.pos as pos, a.n + 1 as n), a), a -> a.n)"
+    merged = merged.withColumns({"first": F.expr("array_min(m.pos)"), "last": F.expr("array_max(m.pos)"), "share": F.expr(f"{ordered} / grams")})
     fits = (F.col("last") - F.col("first") + 3) <= F.col("words") * MOST_STRETCH + SLACK
-    enough = share >= F.when(F.col("grams") <= SHORT_GRAMS, 1.0).otherwise(LEAST_SHARE)
-    spans = merged.select("key", "label", "base", "first", "last", share.alias("share"), (F.col("base") | (enough & fits)).alias("verified"))
-    telling = "|".join(sorted({x[0] for x in TELLING.values()}))
-    edited = edited_spans(words_in(docs.where(body.rlike(f"(?<![a-z0-9])(?:{telling})(?![a-z0-9])"))), templates).select("key", "label", F.lit(False).alias("base"), "first", "last", F.lit(None).cast("double").alias("share"), F.lit(True).alias("verified"))
+    enough = F.col("share") >= F.when(F.col("grams") <= SHORT_GRAMS, 1.0).otherwise(LEAST_SHARE)
+    spans = merged.select("key", "label", "base", "first", "last", "share", (F.col("base") | (enough & fits)).alias("verified"))
+    edited = edited_spans(matched, templates).select("key", "label", F.lit(False).alias("base"), "first", "last", F.lit(None).cast("double").alias("share"), F.lit(True).alias("verified"))
     return spans.unionByName(edited)
 
 
+def find_spans(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return spans_of(match_words(docs, templates, doc_id, text), templates)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row."""
-    spans = find_spans(docs, templates, doc_id, text)
+    matched = settle(match_words(docs, templates, doc_id, text))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    found = spans.groupBy("key").agg(
+    found = spans_of(matched, templates).groupBy("key").agg(
         F.sum(F.col("base").cast("long")).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("first"))).cast("long").alias("last_word"),
         labels(F.col("base")).alias("base_labels"), labels(F.col("verified")).alias("labels"), F.max("share").alias("score"),
     )
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_ANY)), F.lit(0)).cast("long").alias("n_words")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(doc_id, text).alias("key"), words)
-    return rows.join(settle(found), "key", "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return matched.select("doc_id", "key", "n_words").join(settle(found), "key", "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
