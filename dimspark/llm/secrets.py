@@ -3,7 +3,8 @@
 Patterns give spans of several kinds. Base kinds are reported wherever they stand. Weak
 kinds (identifiers, secrets and endpoints that look like many harmless things) are only
 reported if the gap to a complementary part, from the end of the earlier to the start of the
-later, is at most `reach` code points: an identifier or an endpoint needs a secret, a secret
+later, is at most `reach` code points; this stretch around a part is its scope, and lines,
+blocks or sections of a text bound it no further: an identifier or an endpoint needs a secret, a secret
 needs an identifier or an endpoint; base spans serve as parts too. The parts are joined by
 intervals: each goes to the bins, as wide as the reach, from its start to the reach after its
 end, so a bin holds few parts whatever the text; two parts that are near meet in the bin where

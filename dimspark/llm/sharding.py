@@ -15,8 +15,9 @@ inside each part, so no task takes a whole shard or a whole group.
 
 Law `rows`: shards' row counts are at most one apart; slots run from 0 without a gap.
 
-Defined results: a null text is an empty one, all such rows one group; repeated rows are
-linked like copies; rows of null id are placed like any; an empty table gives no rows; only
+Defined results: a null text is an empty one, all such rows one group; repeated rows (of equal
+id and text) are linked like copies, told apart by their place in the input, and may change
+places with each other between runs; rows of null id are placed like any; an empty table gives no rows; only
 doc_id and text are read.
 """
 
@@ -42,10 +43,11 @@ def linked_members(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     rows = settle(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.unhex(F.md5(body)).alias("grp")))
     total = rows.count()
     capacity = max(1, total // n_shards)
-    groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = rows.groupBy("grp", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.sum("n").alias("n"), (F.max("n") > 1).alias("repeats")).where("n > 1")
     parts = F.when(F.col("n") <= capacity, 1).otherwise(F.ceil(2 * F.col("n") / capacity)).cast("int")
-    groups = groups.select("grp", parts.alias("parts")).hint("rebalance")  # dealt anew, so that the rows of one group can be split in the join
-    joined = rows.join(groups, "grp", "left").withColumn("mark", F.xxhash64("doc_id", "grp"))
+    groups = groups.select("grp", parts.alias("parts"), "repeats").hint("rebalance")  # dealt anew, so that the rows of one group can be split in the join
+    number = F.when(F.col("repeats"), F.col("at"))  # tells repeated rows apart, in the order in which they are stored here
+    joined = rows.withColumn("at", F.monotonically_increasing_id()).join(groups, "grp", "left").withColumn("mark", F.xxhash64("doc_id", "grp", number)).drop("at", "repeats")
     return settle(joined.withColumns({"hub": F.pmod("mark", F.col("parts")).cast("int"), "label": F.pmod(F.xxhash64("mark"), F.lit(n_shards)).cast("int")})), total
 
 

@@ -91,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64(doc_id), doc_id).limit(sample_rows)
     texts = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(chosen), doc_id)
-    sample = settle(texts.dropDuplicates([doc_id]).select("body", "toxic").repartition(24))
+    one = texts.groupBy(doc_id, "toxic").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "body"))["body"].alias("body"))
+    sample = settle(one.select("body", "toxic").repartition(24))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     none = np.zeros(0, np.int64)
