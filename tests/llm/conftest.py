@@ -47,3 +47,23 @@ def odd(make_docs, odd_rows):
 @pytest.fixture(scope="session")
 def none(make_docs):
     return make_docs([])
+
+
+@pytest.fixture(scope="session")
+def fresh_ids():
+    """The ids of a text by the named library alone, as the contract says."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda t: tool.encode(t, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="session")
+def tables(spark, odd, odd_rows, tmp_path_factory):
+    """A folder with the odd documents and a few labels, for the registered queries."""
+    where = str(tmp_path_factory.mktemp("odd_tables"))
+    odd.repartition(3).write.parquet(f"{where}/documents.parquet")
+    marks = [(i, k % 3 > 0, k % 2) for k, (i, _, _) in enumerate(odd_rows)]
+    spark.createDataFrame([(i, int(q), t) for i, q, t in marks], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where

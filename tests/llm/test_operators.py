@@ -50,10 +50,9 @@ def test_packing_finds_the_least_cost():
         assert max(np.diff([0, *found])) <= 16 and pack_cost(found, points, cost) == pytest.approx(best[n][0])
 
 
-def test_packing_covers_every_id(odd, odd_rows, none):
-    tool = tokens()
+def test_packing_covers_every_id(odd, odd_rows, none, fresh_ids):
     pieces = packing.pack(odd, size=64, block_tokens=5000).collect()
-    want = Counter((i, tuple(tool.slow.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t, _ in odd_rows)
+    want = Counter((i, tuple(fresh_ids(t or "")) + (0,)) for i, t, _ in odd_rows)
     by_doc = defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id, p.doc_tokens].append(p)
@@ -81,12 +80,33 @@ def test_packing_covers_every_id(odd, odd_rows, none):
     assert packing.pack(none).count() == 0
 
 
-def test_tokens_agree_with_the_named_library(words):
-    tool = tokens()
+def test_tokens_agree_with_the_named_library(words, fresh_ids):
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(words) for _ in range(50)), "l'été, it's 1,234.5!\n\nNew  line", "<|endoftext|> x", " \x1c\x85 tail ", "汉字 ünï \U0001f600", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(50)), "l'été, it's 1,234.5!\n\nNew  line", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n", "<|endoftext", "汉字 <|endoftext|> ünï", " \x1c\x85 tail ", "汉字 ünï \U0001f600", ""]
     for t in texts:
-        assert np.frombuffer(tool.encode(t), "<u4").tolist() == tool.slow.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(tokens().encode(t), "<u4").tolist() == fresh_ids(t)
+    assert fresh_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_packing_query(spark, tables, odd_rows, fresh_ids):
+    """The registered query on odd tables: pieces cover each document's ids once and have their checksums."""
+    want = Counter()
+    for i, t, _ in odd_rows:
+        want[i, tuple(fresh_ids(t or "") + [0])] += 1
+    by_ids = defaultdict(list)
+    for i, ids in want:
+        by_ids[i, len(ids)].append(ids)
+    covered, sequences = Counter(), defaultdict(list)
+    for p in packing.op1_packing(spark, tables).collect():
+        fits = [ids for ids in by_ids[p.doc_id, p.doc_tokens] if zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32]
+        assert fits and 0 < p.length <= 1024
+        covered[p.doc_id, p.doc_tokens] += p.length
+        sequences[p.sequence_id].append((p.offset, p.length))
+    assert covered == Counter({k: len(v[0]) * sum(want[k[0], ids] for ids in v) for k, v in by_ids.items()})
+    for spans in sequences.values():
+        spans.sort()
+        assert all(b == a + n for (a, n), (b, _) in zip([(0, 0), *spans], spans))
+        assert sum(n for _, n in spans) <= 1024
 
 
 # --- 2 ---------------------------------------------------------------------
@@ -120,6 +140,72 @@ def test_bound_is_the_exact_binomial_tail():
     assert not quality.upper_bound_within(0, 0, 0.1, 0.1) and not quality.upper_bound_within(5, 5, 0.1, 0.1)
 
 
+def brute_passes(lost, total, limit, delta):
+    return total > 0 and sum(math.comb(total, i) * limit**i * (1 - limit) ** (total - i) for i in range(lost + 1)) <= delta
+
+
+def test_bound_at_large_counts():
+    for n, k in ((200_000, 3_800), (200_000, 3_950), (3_000_000, 59_000)):
+        p = (k + 1) / n  # the normal approximation is close enough so far from the edges
+        z = (k + 0.5 - 0.02 * n) / math.sqrt(n * 0.02 * 0.98)
+        tail = 0.5 * math.erfc(-z / math.sqrt(2))
+        assert quality.upper_bound_within(k, n, 0.02, tail * 1.3) and not quality.upper_bound_within(k, n, 0.02, tail / 1.3) and p < 0.02
+
+
+def groups_of(rng, n_good, n_bad, n_other, good_rate, trips=(1, 2, 3)):
+    """Counts of documents by how many symbol cutoffs reject them: good ones at the given rate, most bad ones."""
+    rows = Counter()
+    for quality_, n, rate in ((1, n_good, good_rate), (0, n_bad, 0.9), (-1, n_other, 0.1)):
+        for _ in range(n):
+            rows[quality_, rng.choice(trips) if rng.random() < rate else 0] += 1
+    return [{"quality": q, "n": n} | {r: h if r == "symbol_share" else 0 for r in quality.RULES} for (q, h), n in rows.items()]
+
+
+def test_cutoffs_against_brute_force():
+    import pandas as pd
+
+    rng = random.Random(31)
+    for n_good, rate in ((120, 0), (300, 0), (450, 0.002), (2000, 0.01), (2000, 0.03), (0, 0)):
+        rows = groups_of(rng, n_good, 60, 500, rate)
+        got = quality.choose_cutoffs(pd.DataFrame(rows), 4, 0.02, 0.05, 10.0)
+        grid = quality.RULES["symbol_share"][1]
+        of = lambda q, strict: sum(r["n"] for r in rows if r["quality"] == q and len(grid) - r["symbol_share"] < strict)
+        assert (got["n_good"], got["n_bad"]) == (n_good, 60)
+        if got["symbol_share"] is None:
+            assert got["caught_bad"] == 0
+            first = quality.lay_path({r: np.array([x[r] for x in rows]) for r in quality.RULES}, np.array([x["n"] * (x["quality"] == 0) for x in rows]), np.array([x["n"] * (x["quality"] < 0) for x in rows]))[0]
+            lost = of(1, first["symbol_share"])
+            assert not brute_passes(lost, n_good, 0.02, 0.05 / 4) or of(0, first["symbol_share"]) <= 10 * lost
+        else:
+            strict = grid.index(got["symbol_share"]) + 1
+            assert (got["lost_good"], got["caught_bad"]) == (of(1, strict), of(0, strict)) and brute_passes(of(1, strict), n_good, 0.02, 0.05 / 4)
+    assert quality.choose_cutoffs(pd.DataFrame(groups_of(rng, 300, 30, 500, 0)), 4, 0.02, 0.05, 10.0)["symbol_share"], "300 clean good labels are enough"
+
+
+def test_a_null_of_too_high_a_risk_passes_seldom():
+    import pandas as pd
+
+    rng, passed = random.Random(32), 0
+    for _ in range(600):
+        passed += quality.choose_cutoffs(pd.DataFrame(groups_of(rng, 400, 20, 50, 0.021, (8,))), 1, 0.02, 0.05, 0.0)["symbol_share"] is not None
+    assert passed / 600 <= 0.05 + 3 * math.sqrt(0.05 * 0.95 / 600)
+
+
+def test_ties_at_a_cutoff(spark):
+    """A value equal to a cutoff is rejected by it, on either side."""
+    stats = spark.sql("select 1L as doc_id, 's' as stratum, named_struct('n_words', 100L, 'word_chars', 900L, 'n_symbols', 30L, 'n_dup_lines', 0L, 'n_repeat_words', 0L, 'n_lines', 1L) as s")
+    row = lambda **cuts: spark.createDataFrame([("s", *[cuts.get(r) for r in quality.RULES])], "stratum string, " + ", ".join(f"{r} double" for r in quality.RULES))
+    for cuts, rule in (({"symbol_share": 0.3}, "symbol_share"), ({"symbol_share": 0.31}, None), ({"mean_word_chars": 9.0}, "mean_word_chars"), ({"short_word_chars": 9.0}, "short_word_chars"), ({"short_word_chars": 8.9}, None)):
+        assert quality.verdict(stats, row(**cuts)).first()["failed_rule"] == rule
+
+
+def test_quality_query(spark, tables, odd_rows):
+    got = [tuple(r)[:7] for r in quality.op2_quality_rules(spark, tables).collect()]
+    want = [(i, *(s := quality.text_statistics(t))[:5], s[0] < 50 or 100 * s[4] > 50 * s[0]) for i, t, _ in odd_rows]
+    assert pairs(got) == pairs(want)
+    assert all(r.kept == (not r.base_failed) for r in quality.op2_quality_rules(spark, tables).collect()), "too few labels prove nothing"
+
+
 def labelled(spark, words, n=3000):
     rng = random.Random(8)
     rows, labels = [], []
@@ -174,9 +260,7 @@ def brute_lines(rows, least=3):
 
 
 def test_line_dedup(odd, odd_rows, none):
-    for limit in (64 << 20, 0):  # by filters, and by the exact join alone
-        made = linededup.dedup_lines(odd, broadcast_bytes=limit)
-        assert pairs(map(tuple, made.collect())) == pairs(brute_lines(odd_rows))
+    assert pairs(map(tuple, linededup.dedup_lines(odd).collect())) == pairs(brute_lines(odd_rows))
     assert linededup.dedup_lines(none).count() == 0
     out = linededup.rewrite_documents(odd)
     assert out.columns == odd.columns and out.where("text is null").count() == 2
@@ -199,6 +283,59 @@ def test_line_index_is_reversible(spark, make_docs, odd_rows, tmp_path):
     assert pairs(map(tuple, again.dedup(a).collect())) == pairs(brute_lines(odd_rows))
 
 
+def test_line_dedup_over_many_shards(make_docs, monkeypatch):
+    """Every key meets the filter of its own shard, those of a hot line in several partitions."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 7)
+    rng = random.Random(33)
+    lines = [f"line number {k} of the shared ones" for k in range(60)]
+    rows = [(i, "\n".join([lines[0]] * (i % 3 > 0) + rng.sample(lines[1:], 4) + [f"a line of document {i} alone"]), "s") for i in range(150)]
+    rows += [(7, lines[5], "s"), (7, lines[5], "s"), (None, lines[6], "s"), (None, "a line that null ids alone hold", "s"), (None, "a line that null ids alone hold", "s"), (None, "A line that null ids alone hold ", "s")]
+    assert pairs(map(tuple, linededup.dedup_lines(make_docs(rows)).collect())) == pairs(brute_lines(rows))
+
+
+def test_line_dedup_query_and_its_sql(spark, tables, odd_rows):
+    """Repeated rows and shared ids count alike in the query, its SQL and the brute-force version."""
+    import duckdb
+
+    got = linededup.op3_line_dedup(spark, tables).collect()
+    want = [(i, n, gone, hashlib.sha256(text.encode()).hexdigest()) for i, n, gone, text in brute_lines(odd_rows)]
+    assert pairs(map(tuple, got)) == pairs(want)
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    rows = [(1, "the very same line in all"), (1, "the very same line in all"), (2, "the very same line in all"), (3, "other"), *[(i, t) for i, t, _ in odd_rows]]
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = [(i, n, gone, hashlib.sha256(text.encode()).hexdigest()) for i, n, gone, text in brute_lines([(i, t, None) for i, t in rows])]
+    null_ids = lambda found: pairs(r for r in found if r[0] is not None)  # noqa: E731 - the SQL has no rule for lines that null ids alone hold
+    assert null_ids(con.sql(linededup.OP3_SQL).fetchall()) == null_ids(want)
+
+
+def test_line_index_over_many_batches(spark, make_docs, tmp_path, monkeypatch):
+    """Twenty batches: few runs, each reference rewritten a few times, the same decisions as from scratch."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 40)
+    rng = random.Random(34)
+    index, live, read = linededup.LineIndex(spark, str(tmp_path / "index")), [], []
+    whole = linededup.LineIndex.references
+    monkeypatch.setattr(linededup.LineIndex, "references", lambda self, shards=None, runs=None: read.append(shards) or whole(self, shards, runs))
+    for k in range(20):
+        if k % 5 == 4:
+            gone = [live.pop(rng.randrange(len(live))) for _ in range(2)]
+            index.delete(make_docs(gone))
+        else:
+            came = [(10 * k + i, "\n".join(f"a shared line of number {rng.randrange(40)}" for _ in range(3)) + f"\nthe own line of document {10 * k + i}", "s") for i in range(4)]
+            live += came
+            index.insert(make_docs(came))
+        assert len(index.runs) <= math.log2(k + 2) + 1
+    assert index.batch == 20 and index.n_shards > 2 and linededup.LineIndex(spark, index.path).runs == index.runs
+    want = Counter()
+    for i, t, _ in live:
+        for line in set(t.split("\n")):
+            want[linededup.line_key(line.encode())] += 1
+    assert {bytes(r.key): r.n_docs for r in index.counts().collect()} == dict(want)
+    assert pairs(map(tuple, index.dedup(make_docs(live)).collect())) == pairs(brute_lines(live))
+    named = [s for s in read if s is not None]
+    assert named and min(map(len, named)) < index.n_shards, "a batch names the shards it reads"
+
+
 def test_cuckoo_filter(spark):
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(5000)]
     made = linededup.CuckooFilter.of(keys)
@@ -266,6 +403,78 @@ def test_mixing(odd, odd_rows, none, make_docs, words):
     assert all(abs(sums[s] - target[s]) <= 2 for s in order) and len({r.shard for r in drawn.collect()}) == 5
 
 
+def brute_draws(rows, n_shards, seed=7):
+    """(id, text, source) and the words taken in either pass: from the draws of the shards, block by block."""
+    import xxhash
+
+    def rank(i, t):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        h = h if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), h)
+        return h if t is None else xxhash.xxh64_intdigest(t.encode(), h)
+
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    words_ = lambda t: len((t or "").encode().split())
+    sizes = [sum(words_(t) for _, t, x in rows if x == s) for s in sources]
+    targets = mixing.fill(sizes, [(3, 1, 2)[k % 3] for k in range(len(sources))], 1.5 * sum(sizes))
+    ranked = [sorted([(rank(i, t), words_(t), i, t) for i, t, x in rows if x == s], key=lambda r: r[0]) for s in sources]
+    blocks = [sorted({r[0] >> 52 for r in own}) for own in ranked]
+    quotas, last, left = [], [], []
+    for own, held, size, target in zip(ranked, blocks, sizes, targets):
+        full, rest = divmod(round(target), size) if size else (0, 0)
+        end, need = -1, rest
+        if rest:
+            for r in own:
+                end = r[0] >> 52
+                need -= r[1]
+                if need <= 0:
+                    break
+        quotas.append(full * len(held) + sum(b <= end for b in held))
+        last.append((full, end))
+        left.append(rest)
+    shards = {}
+    for shard in range(n_shards):
+        first, count = mixing.split_quotas(np.array(quotas), n_shards, shard, seed)
+        for k, held in enumerate(blocks):
+            for draw in range(first[k], first[k] + count[k]):
+                assert (k, held[draw % len(held)], draw // len(held)) not in shards
+                shards[k, held[draw % len(held)], draw // len(held)] = shard
+    out = []
+    for k, (own, s) in enumerate(zip(ranked, sources)):
+        full, _ = last[k]
+        need = left[k]
+        for r, n, i, t in own:
+            b = r >> 52
+            partial = min(n, need)
+            need -= partial
+            taken = [0 if (k, b, p) not in shards else n if p < full else partial for p in (0, 1)]
+            out.append((i, t, s, *taken, shards.get((k, b, 0)), shards.get((k, b, 1))))
+    return out, dict(zip(sources, targets))
+
+
+def test_taken_words_come_through_the_tree(make_docs, words):
+    rng = random.Random(41)
+    rows = [(i, None if i % 97 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 120))), rng.choice(["xy", "xy", "xy", "a", "b", None])) for i in range(700)]
+    for n_shards in (1, 6):
+        want, targets = brute_draws(rows, n_shards)
+        made = mixing.plan_mix(make_docs(rows), mixing.rank_weights, n_shards=n_shards).collect()
+        got = [(r.doc_id, r.text, r.source, r["__mix_first"], r["__mix_second"], *(r["__mix_shards"] or [None, None])) for r in made]
+        assert pairs(got) == pairs(want)
+        for s, target in targets.items():
+            assert abs(sum(r[3] + r[4] for r in got if r[2] == s) - target) <= 1
+
+
+def test_mixing_query(spark, tables, odd_rows):
+    got = mixing.op4_mixing(spark, tables).collect()
+    n = lambda t: len(WORD.findall(t or ""))
+    size = Counter()
+    for _, t, s in odd_rows:
+        size[s] += n(t)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    target = dict(zip(order, mixing.fill([size[s] for s in order], [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5 * sum(size.values()))))
+    assert pairs((r.doc_id, r.size, r.source_size, round(r.target, 6)) for r in got) == pairs((i, n(t), size[s], round(target[s], 6)) for i, t, s in odd_rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in got) and abs(sum(r.taken for r in got) - sum(target.values())) <= 2 * len(order)
+
+
 # --- 5 ---------------------------------------------------------------------
 
 
@@ -439,6 +648,37 @@ def test_media_columns(odd, odd_rows, none, spark):
     assert media.read_media(media.store_media(none.withColumn("payload", F.col("text")))).count() == 0
 
 
+def test_media_query_against_brute_force(spark, tables, odd_rows):
+    """The digests that the query returns, from an image file written byte by byte here."""
+    want = []
+    for i, t, _ in odd_rows:
+        body = (t or "").encode()
+        full = body + b" " * (-len(body) % 192 or (0 if body else 192))
+        stored = b"P6\n64 %d\n255\n" % (len(full) // 192) + full
+        want.append((i, len(body), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), brute_feature(full)))
+    assert pairs(tuple(r) for r in media.op7_media_columns(spark, tables).collect()) == pairs(want)
+
+
+def brute_feature(full):
+    """The hash and the tile from area averages by a matrix product on either side."""
+    image = np.frombuffer(full, np.uint8).reshape(-1, 64, 3).astype(float)
+
+    def shares(n, m):
+        lo, hi = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
+        return np.clip(np.minimum(hi, np.arange(n) + 1) - np.maximum(lo, np.arange(n)), 0, None) / (n / m)
+
+    def resize(h, w):
+        return np.einsum("yi,ijc,xj->yxc", shares(image.shape[0], h), image, shares(64, w), optimize=True)
+
+    grey = resize(8, 9) @ np.array([0.299, 0.587, 0.114])
+    bits = "".join("1" if a + 1e-9 < b else "0" for row in grey for a, b in zip(row, row[1:]))
+    small = np.rint(np.round(resize(32, 32), 6)).astype(np.uint8)
+    head = "{'descr': '|u1', 'fortran_order': False, 'shape': (32, 32, 3), }"
+    head += " " * (-(len(head) + 11) % 64) + "\n"
+    npy = b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head.encode() + small.tobytes()
+    return f"dhash:{int(bits, 2):016x}:npy:{hashlib.sha256(npy).hexdigest()[:16]}"
+
+
 # --- 8 ---------------------------------------------------------------------
 
 
@@ -502,6 +742,52 @@ def test_toxicity(spark, make_docs, words, odd, none):
     assert all(r.score < 1e-6 for r in toxicity.score(odd, blank).collect())
 
 
+def brute_hash(gram, n):
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) % 2**64
+    return (((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 + n) % 2**64) >> (64 - toxicity.BITS)
+
+
+def brute_features(text):
+    padded = f" {text.lower()} "
+    return {brute_hash(padded[i : i + n], n) for n in toxicity.ORDERS for i in range(len(padded) - n + 1)}
+
+
+def test_toxicity_against_brute_force(spark, make_docs, words):
+    """Features, ratios and scores from plain loops; several texts of one id and ties at the sample's edge."""
+    rng = random.Random(51)
+    rows = [(i, " ".join([rng.choice(words) for _ in range(12)] + ["numbskull"] * (i % 3 == 0)), "s") for i in range(90)] + [(5, "another text of this id", "s"), (None, "no id", "s")]
+    docs, marks = make_docs(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(7, 1), (7, 0)], "doc_id long, toxic int")
+    one = toxicity.train(docs, marks, sample_rows=80, n_features=150)
+    assert len(one.features) == 150 and toxicity.train(docs.repartition(4), marks, sample_rows=80, n_features=150).features.tolist() == one.features.tolist()
+    weight = dict(zip(one.features.tolist(), one.weights.tolist()))
+    got = Counter((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.score(docs, one).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        p = 1 / (1 + math.exp(-(one.intercept + sum(weight.get(f, 0.0) for f in brute_features(t)))))
+        want[i, round(p, 9), int(p >= 0.5)] += 1
+    assert got == want
+    everything = toxicity.train(docs, marks, sample_rows=1000, n_features=10**6)
+    texts = {i: t for i, t, _ in rows[:90]}
+    import xxhash
+
+    texts[5] = min((texts[5], "another text of this id"), key=lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - 2**64 * (h >> 63))
+    pos, neg = Counter(), Counter()
+    for i, t in texts.items():
+        (pos if i % 3 == 0 or i == 7 else neg).update(brute_features(t))
+    assert sorted(everything.features.tolist()) == sorted(f for f in pos | neg if pos[f] + neg[f] >= toxicity.LEAST_TEXTS)
+    f = next(iter(pos))
+    n_pos, n_neg = sum(i % 3 == 0 or i == 7 for i in texts), sum(not (i % 3 == 0 or i == 7) for i in texts)
+    assert toxicity.log_count_ratios(np.array([pos[f]]), np.array([neg[f]]), n_pos, n_neg)[0] == pytest.approx(math.log((pos[f] + 1) / (n_pos + 2)) - math.log((neg[f] + 1) / (n_neg + 2)))
+
+
+def test_toxicity_query(spark, tables, odd_rows):
+    got = toxicity.op9_toxicity(spark, tables).collect()
+    assert pairs((r.doc_id, r.held_out) for r in got) == pairs((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in odd_rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+
+
 # --- 10 --------------------------------------------------------------------
 
 
@@ -533,3 +819,32 @@ def test_sharding_places_every_hub_that_has_room(make_docs, monkeypatch):
     sizes = Counter((bytes(r.grp), r.hub) for r in members.where("hub is not null").collect())
     room = [total // 2 - sum(n for h, n in sizes.items() if homes.get(h) == s) for s in range(2)]
     assert min(room) >= 0 and all(n > max(room) for h, n in sizes.items() if h not in homes)
+
+
+def test_sharding_cuts_few_edges(make_docs, words):
+    """Cut edges (pairs of equal texts in different shards) against the best, none, and a random assignment."""
+    rng = random.Random(61)
+    rows = [(100 * g + k, f"group {g}", "s") for g in range(60) for k in range(rng.randint(2, 9))] + [(9000 + k, f"alone {k}", "s") for k in range(240)]
+    cut = lambda where: sum(where[a[0]] != where[b[0]] for g in groups.values() for x, a in enumerate(g) for b in g[:x])
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    got = cut({r.doc_id: r.shard for r in sharding.shard_documents(make_docs(rows), 8).collect()})
+    by_chance = cut({r[0]: rng.randrange(8) for r in rows})
+    assert got <= 0.05 * by_chance
+
+
+def test_sharding_massed_equal_rows(make_docs):
+    """Rows of equal id and text, more than a shard holds, are told apart and split evenly."""
+    docs = make_docs([(1, "the same", "s")] * 120 + [(k, f"t{k}", "s") for k in range(2, 62)]).repartition(4)
+    members, total = sharding.linked_members(docs, 6)
+    hubs = Counter(r.hub for r in members.where("hub is not null").collect())
+    assert total == 180 and sum(hubs.values()) == 120 and len(hubs) >= 4 and max(hubs.values()) <= 36
+    counts = Counter(r.shard for r in sharding.shard_documents(docs, 6).collect())
+    assert sorted(counts.values()) == [30] * 6
+
+
+def test_sharding_query(spark, tables, odd_rows):
+    got = sharding.op10_sharding(spark, tables).collect()
+    assert pairs((r.doc_id, r.size, r.text_crc32) for r in got) == pairs((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in odd_rows)
+    assert {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got) and len({(r.shard, r.slot) for r in got}) == len(got)

@@ -9,7 +9,6 @@ import xxhash
 from test_operators import brute_lines, brute_links, brute_statistics
 
 from dimspark.llm import mixing
-from dimspark.llm.tokens import tokens
 
 
 def brute_mix(rows, seed=7):
@@ -55,7 +54,7 @@ def folder(spark, make_docs, odd_rows, words, tmp_path_factory):
     return where, rows
 
 
-def test_run_is_the_five_stages(spark, folder):
+def test_run_is_the_five_stages(spark, folder, fresh_ids):
     where, rows = folder
     kept = [r for r in rows if (s := brute_statistics(r[1]))[0] >= 50 and 100 * s[4] <= 50 * s[0]]
     lines = brute_lines(kept)
@@ -69,11 +68,10 @@ def test_run_is_the_five_stages(spark, folder):
         least[r] = min(least.get(r, 1 << 60), 1 << 60 if i is None else i)
     kept = [r for r, root in zip(kept, roots) if (1 << 60 if r[0] is None else r[0]) == least[root]]
     mixed = brute_mix(kept)
-    tool = tokens()
     want = Counter()
     for k, n in mixed.items():
         if n:
-            want[kept[k][0]] += n * (1 + len(tool.slow.encode(kept[k][1], add_special_tokens=False).ids))
+            want[kept[k][0]] += n * (1 + len(fresh_ids(kept[k][1])))
     got = Counter()
     for p in corpus_pipeline.run(spark, where).collect():
         got[p.doc_id] += p.length
