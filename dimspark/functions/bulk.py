@@ -1,12 +1,15 @@
 """Unit strings as data: a column of unit names, canonicalized, described or suggested for.
 
-Distinct strings are few beside rows; they are looked up once. Up to `most` of them go over
-the driver and come back as a broadcast table of that bounded size; beyond that they are
-looked up on the executors, in Arrow batches of the distinct strings alone.
+Distinct strings are few beside rows: they are looked up once each, on the executors, in Arrow
+batches of the distinct strings alone, and joined back. Nothing runs before the result is asked
+for, however many strings there are; adaptive execution broadcasts the looked-up table if its
+measured size allows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,6 @@ from dimspark.units import dims
 from dimspark.units.registry import Registry
 
 INFO = "canonical string, dimension map<string,int>, description string, code string, message string"
-MOST = 10_000
 
 
 def unit_facts(registry: Registry, text: str | None) -> tuple:
@@ -29,43 +31,36 @@ def unit_facts(registry: Registry, text: str | None) -> tuple:
     return unit.text, dims.to_map(unit.dimension), registry.describe(text), None, None
 
 
-def unit_info(df: DataFrame, column: str, registry: Registry, most: int = MOST) -> DataFrame:
-    """df with canonical, dimension, description, code and message of the unit strings in a column."""
+def _looked_up(df: DataFrame, column: str, schema: str, names: list[str], fn: Callable[[str], tuple]) -> DataFrame:
+    """df with what fn says of the distinct strings of a column; null strings have nulls."""
     texts = df.select(F.col(column).alias("__unit")).where(F.col(column).isNotNull()).distinct()
-    found = [r[0] for r in texts.limit(most + 1).collect()]
-    schema = f"__unit string, {INFO}"
-    if len(found) <= most:
-        known = F.broadcast(df.sparkSession.createDataFrame([(t, *unit_facts(registry, t)) for t in found], schema))
-    else:
-
-        def look_up(parts):
-            for part in parts:
-                rows = [(t, *unit_facts(registry, t)) for t in part["__unit"]]
-                yield pd.DataFrame(rows, columns=["__unit", "canonical", "dimension", "description", "code", "message"])
-
-        known = texts.mapInPandas(look_up, schema)
+
+    def look_up(parts):
+        for part in parts:
+            yield pd.DataFrame([(t, *fn(t)) for t in part["__unit"]], columns=["__unit", *names])
+
+    known = texts.mapInPandas(look_up, f"__unit string, {schema}")
     return df.join(known, F.col(column) == F.col("__unit"), "left").drop("__unit")
 
 
-def convert_by_unit_column(df: DataFrame, value: str, unit: str, target: str, registry: Registry, result: str, most: int = MOST) -> DataFrame:
-    """Values whose unit stands in another column, in one unit; null where the units don't fit.
+def unit_info(df: DataFrame, column: str, registry: Registry) -> DataFrame:
+    """df with canonical, dimension, description, code and message of the unit strings in a column."""
+    return _looked_up(df, column, INFO, ["canonical", "dimension", "description", "code", "message"], lambda t: unit_facts(registry, t))
 
-    The conversions of the distinct units are a broadcast table of at most `most` rows; more
-    distinct units than that are refused, since no registry has as many spellings.
-    """
-    texts = [r[0] for r in df.select(unit).where(F.col(unit).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(texts) > most:
-        raise UnitError("E_UNKNOWN_UNIT", f"{unit} holds more than {most} different units")
-    rows = []
-    for text in texts:
+
+def convert_by_unit_column(df: DataFrame, value: str, unit: str, target: str, registry: Registry, result: str) -> DataFrame:
+    """Values whose unit stands in another column, in one unit; null where the units don't fit."""
+    registry.canonicalize(target)
+
+    def line(text: str) -> tuple[float | None, float | None]:
         try:
             c = registry.conversion(text, target)
         except UnitError:
-            continue
-        rows.append((text, float(c.factor), float(c.offset)))
-    known = F.broadcast(df.sparkSession.createDataFrame(rows, "__unit string, __factor double, __offset double"))
-    joined = df.join(known, F.col(unit) == F.col("__unit"), "left")
-    return joined.withColumn(result, F.col(value) * F.col("__factor") + F.col("__offset")).drop("__unit", "__factor", "__offset")
+            return None, None
+        return float(c.factor), float(c.offset)
+
+    joined = _looked_up(df, unit, "__factor double, __offset double", ["__factor", "__offset"], line)
+    return joined.withColumn(result, F.col(value) * F.col("__factor") + F.col("__offset")).drop("__factor", "__offset")
 
 
 def suggest_units(df: DataFrame, column: str, registry: Registry, top: int = 4) -> DataFrame:

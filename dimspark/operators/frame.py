@@ -9,17 +9,20 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dimspark.errors import UnitError
 from dimspark.functions.expr import PERMISSIVE, Context, UExpr, column
 from dimspark.operators.aggregates import Aggregate
 from dimspark.sources import tagging
+from dimspark.sources.provenance import merge_provenance, provenance_of, with_provenance
 from dimspark.units import default_registry, dims
-from dimspark.units.blob import Base, Temporal
+from dimspark.units.blob import Base, Metadata, Temporal
 from dimspark.units.boundary import Verdict, check_boundary
 from dimspark.units.registry import Registry
 
@@ -28,11 +31,14 @@ ORDER = {"strict": 0, "permissive": 1, "untracked": 2}
 
 @dataclass(frozen=True)
 class UnitFrame:
-    df: DataFrame
+    """raw has the rows; pending the metadata of columns that the next projection, or `df`, puts on them."""
+
+    raw: DataFrame
     context: Context
     log: tuple[dict, ...] = ()
     pin: str | None = None
     key: str = field(default=tagging.KEY, repr=False)
+    pending: dict[str, dict] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, df: DataFrame, registry: Registry | None = None, mode: str = PERMISSIVE, strict_affine: bool = False, pin: str | None = None) -> UnitFrame:
@@ -45,19 +51,37 @@ class UnitFrame:
     def registry(self) -> Registry:
         return self.context.registry
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return tagging.with_schema_metadata(self.raw, self.schema) if self.pending else self.raw
+
+    @cached_property
+    def schema(self) -> StructType:
+        old = self.raw.schema
+        return StructType([StructField(f.name, f.dataType, f.nullable, self.pending.get(f.name, f.metadata)) for f in old.fields]) if self.pending else old
+
+    @cached_property
+    def tags(self) -> dict[str, Metadata]:
+        return tagging.metadata_of(self.schema, self.key)
+
     @property
     def units(self) -> dict[str, str]:
-        return tagging.units_of(self.df, self.key)
+        return {name: m.unit for name, m in self.tags.items()}
 
     @property
-    def schema(self):
-        return self.df.schema
+    def _rows(self) -> tuple[DataFrame, dict[str, dict]]:
+        """What the next operation works on, and the metadata that it has to put on columns; df, once someone has it, for its columns are then known by it."""
+        return (self.df, {}) if "df" in self.__dict__ else (self.raw, self.pending)
+
+    @staticmethod
+    def _kept(name: str, pending: dict[str, dict]) -> Column | str:
+        quoted = f"`{name}`"
+        return F.col(quoted).alias(name, metadata=pending[name]) if name in pending else quoted
 
     def __getitem__(self, name: str) -> UExpr:
-        if name not in self.df.columns:
+        if name not in self.schema.names:
             raise KeyError(f"{name!r} is no column; tagged are {', '.join(sorted(self.units)) or 'none'}")
-        f = self.df.schema[name]
-        return column(self.context, name, tagging.metadata_of(self.df.schema, self.key).get(name), f.dataType.simpleString())
+        return column(self.context, name, self.tags.get(name), self.schema[name].dataType.simpleString())
 
     def __contains__(self, name: str) -> bool:
         return name in self.units
@@ -69,15 +93,18 @@ class UnitFrame:
         """Numeric columns without a unit."""
         from pyspark.sql.types import NumericType
 
-        return frozenset(f.name for f in self.df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in self.units)
+        return frozenset(f.name for f in self.schema.fields if isinstance(f.dataType, NumericType) and f.name not in self.units)
 
-    def _next(self, df: DataFrame, op: str, **args: Any) -> UnitFrame:
-        return replace(self, df=df, log=(*self.log, {"op": op, **args}))
+    def _next(self, df: DataFrame, op: str, _pending: dict[str, dict] | None = None, **args: Any) -> UnitFrame:
+        return replace(self, raw=df, pending=_pending or {}, log=(*self.log, {"op": op, **args}))
 
     # tags -----------------------------------------------------------------
 
     def tag(self, units: dict[str, str], quantities: dict[str, str] | None = None, **options: Any) -> UnitFrame:
-        return self._next(tagging.tag(self.df, units, self.registry, quantities, key=self.key, **options), "tag", units=dict(units))
+        df, pending = self._rows
+        tagged = tagging.tag_schema(self.schema, units, self.registry, quantities, key=self.key, **options)
+        changed = {f.name: f.metadata for f in tagged.fields if f.name in units}
+        return self._next(df, "tag", pending | changed, units=dict(units))
 
     def tag_base(self, name: str, unit: str, value: float, base_unit: str, quantity: str = "core:power") -> UnitFrame:
         return self.tag({name: unit}, bases={name: Base(quantity, value, base_unit)})
@@ -97,12 +124,14 @@ class UnitFrame:
     # projection -----------------------------------------------------------
 
     def select(self, *names: str, **made: UExpr | Column) -> UnitFrame:
-        columns = [F.col(f"`{n}`") for n in names] + [self._named(n, e) for n, e in made.items()]
-        return self._next(self.df.select(*columns), "project", columns=list(names), made={n: self._text(e) for n, e in made.items()})
+        df, pending = self._rows
+        columns = [self._kept(n, pending) for n in names] + [self._named(n, e) for n, e in made.items()]
+        return self._next(df.select(*columns), "project", columns=list(names), made={n: self._text(e) for n, e in made.items()})
 
     def with_columns(self, **made: UExpr | Column) -> UnitFrame:
-        kept = [F.col(f"`{n}`") for n in self.df.columns if n not in made]
-        return self._next(self.df.select(*kept, *[self._named(n, e) for n, e in made.items()]), "arithmetic", made={n: self._text(e) for n, e in made.items()})
+        df, pending = self._rows
+        kept = [self._kept(n, pending) for n in self.schema.names if n not in made]
+        return self._next(df.select(*kept, *[self._named(n, e) for n, e in made.items()]), "arithmetic", made={n: self._text(e) for n, e in made.items()})
 
     @staticmethod
     def _text(e: Any) -> Any:
@@ -113,8 +142,8 @@ class UnitFrame:
     def convert(self, units: dict[str, str], keep_description: bool = False, **options: Any) -> UnitFrame:
         """Columns in other units, in place."""
         made = {n: self[n].to(u, **options) for n, u in units.items()}
-        columns = [self._named(n, made[n]) if n in made else F.col(f"`{n}`") for n in self.df.columns]
-        out = self.df.select(*columns)
+        df, pending = self._rows
+        out = df.select(*[self._named(n, made[n]) if n in made else self._kept(n, pending) for n in self.schema.names])
         if keep_description:
             for n in made:
                 note = {k: v for k, v in (self.df.schema[n].metadata or {}).items() if k in (tagging.DESCRIPTION, tagging.DISPLAY_NAME)}
@@ -136,7 +165,8 @@ class UnitFrame:
     # rows -----------------------------------------------------------------
 
     def filter(self, condition: Column) -> UnitFrame:
-        return self._next(self.df.filter(condition), "filter")
+        df, pending = self._rows
+        return self._next(df.filter(condition), "filter", pending)
 
     where = filter
 
@@ -165,7 +195,8 @@ class UnitFrame:
     # aggregation ----------------------------------------------------------
 
     def group_by(self, *keys: str) -> Grouped:
-        return Grouped(self, list(keys), self.df.groupBy(*keys), "aggregate")
+        df, pending = self._rows
+        return Grouped(self, list(keys), df.groupBy(*keys), "aggregate", {k: pending[k] for k in keys if k in pending})
 
     def rollup(self, *keys: str) -> Grouped:
         return Grouped(self, list(keys), self.df.rollup(*keys), "aggregate.rollup")
@@ -200,6 +231,13 @@ class UnitFrame:
         mode = max(self.context.mode, other.context.mode, key=ORDER.__getitem__)
         return replace(self.context, mode=mode, warned=self.context.warned | other.context.warned)
 
+    def _joined(self, out: DataFrame, other: UnitFrame, op: str, **args: Any) -> UnitFrame:
+        """What comes of two frames, with the weaker of their modes and, if both say where their units come from, both told."""
+        mine, theirs = provenance_of(self.df), provenance_of(other.df)
+        if mine and theirs and mine != theirs and len(set(out.columns)) == len(out.columns):
+            out = with_provenance(out, merge_provenance(mine, theirs))
+        return replace(self._next(out, op, **args), context=self._merged(other))
+
     def _check_keys(self, other: UnitFrame, pairs: list[tuple[str, str]]) -> None:
         """Keys must be of one unit: equality of rows is no place for a conversion."""
         for a, b in pairs:
@@ -227,17 +265,21 @@ class UnitFrame:
         else:
             condition = [self.df[a] == other.df[b] for a, b in pairs]
             out = self.df.join(right, condition, how)
-        return replace(self._next(out, "join", how=how, on=[list(p) for p in pairs]), context=self._merged(other))
+        return self._joined(out, other, "join", how=how, on=[list(p) for p in pairs])
 
     def cross_join(self, other: UnitFrame) -> UnitFrame:
         self._meet(other)
-        return replace(self._next(self.df.crossJoin(other.df), "join", how="cross"), context=self._merged(other))
+        return self._joined(self.df.crossJoin(other.df), other, "join", how="cross")
 
-    def join_where(self, other: UnitFrame, condition: Callable[[UnitFrame, UnitFrame], Column], on: list[tuple[str, str]] = (), how: str = "inner") -> UnitFrame:
+    def join_where(self, other: UnitFrame, condition: Callable[[UnitFrame, UnitFrame], Column], on: list[tuple[str, str]] = (), how: str = "inner", nested: bool = False) -> UnitFrame:
         """A join by comparisons of quantities, which are coerced, besides keys, which are not.
 
-        Column names of both sides must differ, so that expressions of either side are plain.
+        Column names of both sides must differ, so that expressions of either side are plain. Without
+        keys every pair of rows is compared: that must be asked for, by nested=True; where a value is
+        sought in ranges, `range_join` does without.
         """
+        if not on and not nested:
+            raise ValueError("a join without keys compares all pairs: give keys, use range_join, or say nested=True")
         if clash := set(self.df.columns) & set(other.df.columns):
             raise ValueError(f"both sides have {', '.join(sorted(clash))}")
         self._meet(other)
@@ -245,24 +287,30 @@ class UnitFrame:
         both = condition(self, other)
         for a, b in on:
             both = (F.col(a) == F.col(b)) & both
-        return replace(self._next(self.df.join(other.df, both, how), "join", how=how, on=[list(p) for p in on]), context=self._merged(other))
+        return self._joined(self.df.join(other.df, both, how), other, "join", how=how, on=[list(p) for p in on])
 
     def range_join(self, other: UnitFrame, value: str, low: str, high: str, width: float, unit: str | None = None) -> UnitFrame:
         """Rows whose value lies in [low, high) of the other side.
 
-        Both sides go to bins of a width (in unit, or the value's own): an equi-join on bins
-        instead of a comparison of all pairs; an interval goes to each bin that it touches.
+        An equi-join on bins instead of a comparison of all pairs. An interval goes to bins as wide
+        as itself or wider by less than two, of width (in unit, or the value's own) times a power
+        of two, so it touches three at most; a value goes to one bin for each power that
+        intervals have, a small table of powers that is broadcast.
         """
         x, a, b = self[value], other[low], other[high]
         a, b = x.coerced(a, "compare"), x.coerced(b, "compare")
         if unit is not None and x.unit_ is not None:
             width = float(self.registry.conversion(unit, x.unit).apply(width))
-        left = self.df.withColumn("__bin", F.floor(x.column / F.lit(width)))
-        right = other.df.withColumns({"__low": a.column, "__high": b.column})
-        right = right.where(F.col("__low") < F.col("__high")).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__low") / F.lit(width)), F.floor(F.col("__high") / F.lit(width)))))
-        out = left.join(right, "__bin").where((x.column >= F.col("__low")) & (x.column < F.col("__high"))).drop("__bin", "__low", "__high")
+        bin_of = lambda c: F.floor(c / (F.lit(width) * F.pow(F.lit(2.0), F.col("__level"))))
+        span = (F.col("__high") - F.col("__low")) / F.lit(width)
+        right = other.df.withColumns({"__low": a.column, "__high": b.column}).where(F.col("__low") < F.col("__high"))
+        right = right.withColumn("__level", F.when(span <= 1, 0).otherwise(F.least(F.ceil(F.log2(span)), F.lit(1100))).cast("int"))
+        levels = F.broadcast(right.select("__level").distinct())
+        left = self.df.crossJoin(levels).withColumn("__bin", bin_of(x.column))
+        right = right.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__low")), bin_of(F.col("__high")))))
+        out = left.join(right, ["__level", "__bin"]).where((x.column >= F.col("__low")) & (x.column < F.col("__high"))).drop("__level", "__bin", "__low", "__high")
         self._meet(other)
-        return replace(self._next(out, "join", how="range"), context=self._merged(other))
+        return self._joined(out, other, "join", how="range")
 
     def asof_join(self, other: UnitFrame, by: list[str], left_on: str, right_on: str, columns: list[str], bin_width: float | None = None) -> UnitFrame:
         """For each row the other side's latest row of the same keys that is not later.
@@ -297,7 +345,7 @@ class UnitFrame:
                 match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
             found = found.join(lasts, match, "left").withColumn("__latest", F.coalesce("__latest", "__before"))
         out = found.select(*[F.col("__row")[c].alias(c, metadata=self.df.schema[c].metadata or {}) for c in self.df.columns], *[F.col("__latest")[c].alias(c, metadata=other.df.schema[c].metadata or {}) for c in columns])
-        return replace(self._next(out, "join", how="asof", on=by), context=self._merged(other))
+        return self._joined(out, other, "join", how="asof", on=by)
 
     def _aligned(self, other: UnitFrame, op: str) -> DataFrame:
         if set(self.df.columns) != set(other.df.columns):
@@ -332,13 +380,13 @@ class UnitFrame:
             meta = out.schema[name].metadata or {}
             if tagging.DESCRIPTION in meta and meta[tagging.DESCRIPTION] != (other.df.schema[name].metadata or {}).get(tagging.DESCRIPTION):
                 out = out.withMetadata(name, {k: v for k, v in meta.items() if k != tagging.DESCRIPTION})
-        return replace(self._next(out, "concat"), context=self._merged(other))
+        return self._joined(out, other, "concat")
 
     def _set(self, other: UnitFrame, op: str, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> UnitFrame:
         right = self._aligned(other, op)
         self._meet(other)
         self._check_keys(other, [(n, n) for n in self.df.columns])
-        return replace(self._next(apply(self.df, right), op), context=self._merged(other))
+        return self._joined(apply(self.df, right), other, op)
 
     def intersect(self, other: UnitFrame) -> UnitFrame:
         return self._set(other, "intersect", DataFrame.intersect)
@@ -380,7 +428,8 @@ class Grouped:
     keys: list[str]
     grouped: GroupedData
     op: str
+    pending: dict[str, dict] = field(default_factory=dict)
 
     def agg(self, **made: Aggregate) -> UnitFrame:
         out = self.grouped.agg(*[self.frame._named(n, a) for n, a in made.items()])
-        return self.frame._next(out, self.op, keys=self.keys, made={n: {"fn": a.name, "of": self.frame._text(a)} for n, a in made.items()})
+        return self.frame._next(out, self.op, self.pending, keys=self.keys, made={n: {"fn": a.name, "of": self.frame._text(a)} for n, a in made.items()})

@@ -65,11 +65,15 @@ def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
 
 def _footer_schema(spark: SparkSession, path: str) -> pa.Schema | None:
     """The Arrow schema in the first Parquet footer under a path, read through Spark's file systems; None without one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length").limit(1).collect()
-    if not files:
-        return None
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(files[0]["path"])
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listed, where = root.getFileSystem(conf).listFiles(root, True), None  # folder by folder, as it is asked for
+    while where is None and listed.hasNext():
+        one = listed.next().getPath()
+        if one.getName().endswith(".parquet") and not one.getName().startswith(("_", ".")):
+            where = one
+    if where is None:
+        return None
     held = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf)
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(held)
     try:

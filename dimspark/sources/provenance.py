@@ -6,9 +6,10 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from dimspark.errors import UnitError
-from dimspark.sources.tagging import PROVENANCE, metadata_of
+from dimspark.sources.tagging import PROVENANCE, metadata_of, with_schema_metadata
 from dimspark.units import Registry
 from dimspark.units.compose import Composed, verify_pin
 
@@ -30,9 +31,10 @@ def _text(body: dict) -> str:
 
 
 def with_provenance(df: DataFrame, text: str) -> DataFrame:
-    for name in metadata_of(df):
-        df = df.withMetadata(name, {**(df.schema[name].metadata or {}), PROVENANCE: text})
-    return df
+    """df with the text on every tagged column."""
+    tagged = metadata_of(df)
+    fields = [StructField(f.name, f.dataType, f.nullable, {**(f.metadata or {}), PROVENANCE: text} if f.name in tagged else f.metadata) for f in df.schema.fields]
+    return with_schema_metadata(df, StructType(fields))
 
 
 def provenance_of(df: DataFrame) -> str | None:

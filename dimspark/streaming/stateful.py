@@ -22,4 +22,4 @@ def apply_with_state(frame: UnitFrame, keys: list[str], fn: Callable, schema: st
     held = StructType.fromDDL(state) if isinstance(state, str) else state
     tagged = tag_schema(declared, units, frame.registry)
     out = frame.df.groupBy(*keys).applyInPandasWithState(fn, declared, held, output_mode, timeout)
-    return replace(frame, df=with_schema_metadata(out, tagged), log=(*frame.log, {"op": "state", "keys": keys, "units": units}))
+    return replace(frame, raw=with_schema_metadata(out, tagged), pending={}, log=(*frame.log, {"op": "state", "keys": keys, "units": units}))

@@ -24,7 +24,7 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str =
 def with_event_time(frame: UnitFrame, column: str, delay: str) -> UnitFrame:
     """A watermark on a column, which becomes a timestamp with a zone; tags stay."""
     if frame.df.schema[column].dataType.simpleString() != "timestamp":
-        frame = replace(frame, df=frame.df.withColumn(column, F.col(column).cast("timestamp")))
+        frame = replace(frame, raw=frame.df.withColumn(column, F.col(column).cast("timestamp")), pending={})
     return frame._next(frame.df.withWatermark(column, delay), "watermark", column=column, delay=delay)
 
 

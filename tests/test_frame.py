@@ -180,7 +180,7 @@ def test_joins(spark):
     spans = UnitFrame.of(spark.createDataFrame([("a", 1.0, 2.0), ("b", 0.0, 100.0), ("c", 5.0, 5.0)], "name string, low double, high double")).tag({"low": "km", "high": "km"})
     found = values.range_join(spans, "x", "low", "high", 0.5, "km").df.select("id", "name").collect()
     assert sorted(map(tuple, found)) == [(1, "a"), (1, "b"), (2, "b")]
-    theta = values.join_where(spans, lambda a, b: (a["x"] >= b["low"]) & (a["x"] < b["high"])).df.select("id", "name").collect()
+    theta = values.join_where(spans, lambda a, b: (a["x"] >= b["low"]) & (a["x"] < b["high"]), nested=True).df.select("id", "name").collect()
     assert sorted(map(tuple, theta)) == sorted(map(tuple, found))
     left = UnitFrame.of(spark.createDataFrame([("k", 5), ("k", 1), ("j", 9)], "k string, t int"))
     right = UnitFrame.of(spark.createDataFrame([("k", 2, 7.0), ("k", 5, 8.0)], "k string, t int, v double")).tag({"v": "MW"})
@@ -244,8 +244,10 @@ def test_scalar_rules(power):
 
 def test_unit_strings_as_data(spark):
     df = spark.createDataFrame([(1.0, "km"), (2.0, "m"), (3.0, "s"), (4.0, None), (5.0, "nope")], "x double, u string")
-    some, many = bulk.unit_info(df, "u", R), bulk.unit_info(df, "u", R, most=1)
-    assert sorted(map(str, some.collect())) == sorted(map(str, many.collect())) and some.where("code = 'E_UNKNOWN_UNIT'").count() == 1
+    told = {r.u: r for r in bulk.unit_info(df, "u", R).collect()}
+    assert told["km"].canonical == "km" and told["km"].dimension == {"length": 1} and told["nope"].code == "E_UNKNOWN_UNIT" and told[None].code is None
+    many = spark.range(12_000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "km").otherwise(F.concat(F.lit("no"), F.col("id"))).alias("u"))
+    assert bulk.convert_by_unit_column(many, "x", "u", "m", R, "m").where("m = x * 1000").count() == 6_000, "any number of different strings"
     assert [r.m for r in bulk.convert_by_unit_column(df, "x", "u", "m", R, "m").orderBy("x").collect()] == [1000.0, 2.0, None, None, None]
     near = spark.createDataFrame([("metr",), (None,)], "u string")
     assert [r.suggestion for r in bulk.suggest_units(near, "u", R).orderBy("rank").collect()] == R.suggest("metr")
@@ -299,3 +301,47 @@ def test_provenance(power):
         embedded_registry(pin, lambda _: other.source)
     merged = json.loads(merge_provenance(full, foreign))
     assert merged["mode"] == "permissive" and [c["name"] for c in merged["composed_from"]] == ["other"]
+
+
+def test_provenance_of_both_sides(spark):
+    """A join and a union tell where the units of both come from, and keep the weaker mode."""
+    import json
+    from dataclasses import replace
+
+    from dimspark.sources import provenance
+
+    head = '[registry]\nschema_version = 1\nname = "{}"\nversion = "1"\n[unit.m]\ndimension = "length"\nfactor = [1, 1]\n'
+    sides = []
+    for name, mode in (("a", "strict"), ("b", "permissive")):
+        u = UnitFrame.of(spark.createDataFrame([(1, 2.0)], "k int, x double"), R).tag({"x": "m"})
+        from dimspark.units import Registry
+
+        sides.append(replace(u, raw=provenance.with_provenance(u.df, provenance.provenance(Registry(head.format(name)), mode)), pending={}))
+    for made in (sides[0].join(sides[1].rename({"x": "y"}), "k"), sides[0].union(sides[1])):
+        told = json.loads(provenance.provenance_of(made.df))
+        assert told["mode"] == "permissive" and told["registry"]["name"] == "a" and [x["name"] for x in told["composed_from"]] == ["b"]
+
+
+def test_tags_wait_for_the_next_projection(spark):
+    """A tag alone plans nothing; filters, groups and projections carry it, and a frame that was handed out is kept."""
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "k int, x double, y double")
+    u = UnitFrame.of(df).tag({"x": "m"}).tag({"y": "s"})
+    assert u.raw is df and u.units == {"x": "m", "y": "s"} and tag(df, {"x": "m"}, R).schema["x"] == u.schema["x"]
+    assert u.filter(F.col("k") > 0).select("x", "k").df.schema["x"].metadata == u.df.schema["x"].metadata
+    assert u.filter(u.df["x"] > 0).df.count() == 1
+    assert u.group_by("x").agg(n=A.count()).units == {"x": "m"} and u.with_columns(z=u["x"] / u["y"]).units == {"x": "m", "y": "s", "z": "m*s^-1"}
+    assert u.convert({"x": "km"}).units == {"x": "km", "y": "s"}
+
+
+def test_range_join_of_wide_intervals(spark):
+    """Intervals of any width touch few bins; the rows are those of all pairs."""
+    inf = float("inf")
+    values = [-1e18, -3.0, -0.0, 0.0, 1.5, 7.25, 1e3, 1e12, 5e17, None]
+    ranges = [(0.0, 1.0), (-3.0, 1e15), (1.5, 1.5), (2.0, 1.0), (0.0, inf), (-inf, 0.0), (-inf, inf), (7.0, 8.0), (None, 3.0), (1e12, 1e12 + 1)]
+    left = UnitFrame.of(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")).tag({"v": "m"})
+    right = UnitFrame.of(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(ranges)], "k int, a double, b double")).tag({"a": "m", "b": "m"})
+    made = left.range_join(right, "v", "a", "b", 1.0).df.select("i", "k")
+    want = sorted((i, k) for i, v in enumerate(values) for k, (a, b) in enumerate(ranges) if None not in (v, a, b) and a <= v < b)
+    assert sorted(map(tuple, made.collect())) == want
+    with pytest.raises(ValueError, match="all pairs"):
+        left.join_where(right, lambda x, y: x["v"] < y["b"])
