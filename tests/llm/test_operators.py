@@ -563,6 +563,85 @@ def test_jaccard_join(make_docs, odd_rows, none, words, small, block):
     assert ngram_join.link_documents(none).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    """Every class keeps its recall, thin subtrees are shortened first, and all classes of a subtree are cut alike."""
+    rng = random.Random(71)
+    floor, trees, small = 5, ngram_join.TREES, 8
+    size = {}
+    rows = []
+    for node in range(120):
+        for tree in range(trees):
+            group = rng.choice([None, 0, 1, 2])  # no other class, or one of three subtrees
+            if group is not None:
+                top = tree * 10 + group
+                size[top] = size.get(top) or rng.choice([2, 5, 9, 30, 500, 9000])
+                rows.append((node, tree, rng.getrandbits(60), top, size[top]))
+    met = spark.createDataFrame(rows, "node int, tree int, label long, top long, n long")
+    for recall in (0.9999, 0.99999):
+        cut = {(r.node, r.tree): (r.depth, r.n, r.top) for r in ngram_join.shortened(met, floor, 0.8, trees, recall, small).collect()}
+        assert set(cut) == {(a, b) for a, b, _, _, n in rows if n > small}
+        depths = defaultdict(set)
+        for node in range(120):
+            own = {t: cut.get((node, t), (floor, 0, None)) for t in range(trees)}
+            assert math.prod(1 - 0.8**d for d, _, _ in own.values()) <= 1 - recall + 1e-12
+            for d, _, top in own.values():
+                depths[top].add(d)
+        assert all(len(d) == 1 for top, d in depths.items() if top is not None)
+    long = [n for d, n, _ in cut.values() if d == ngram_join.DEPTH]
+    assert not long or min(long) >= sorted(n for _, n, _ in cut.values())[len(cut) // 10]
+    loose = [d for d, _, _ in ((r.depth, r.n, r.top) for r in ngram_join.shortened(met, floor, 0.8, trees, 0.99, small).collect())]
+    assert loose.count(ngram_join.DEPTH) > 0, "with recall to spare, crowded subtrees keep whole labels"
+
+
+def test_labels_agree_as_the_sets_do():
+    rng = np.random.default_rng(5)
+    same = []
+    for _ in range(60):
+        both = rng.integers(0, 2**64, 400, np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, 50, np.uint64)])) for _ in range(2))
+        x, y = (ngram_join.tree_labels(s).astype(">i8").view(np.uint8) for s in (a, b))
+        same.append((x == y).mean())
+    assert abs(np.mean(same) - 0.8) < 0.02
+
+
+def test_recall_on_whole_tables(spark):
+    """The links of every document whose id is divisible by 100, against all rows, by an inverted index."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (r.text or "").encode().split()) else set() for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, found in sets.items():
+        for x in found:
+            holders[x].append(i)
+    want = {}
+    for i in (i for i in sets if i % 100 == 0):
+        shared = Counter(j for x in sets[i] for j in holders[x] if j != i)
+        want[i] = sum(n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) for j, n in shared.items())
+    got = {r.doc_id: r.n_links for r in ngram_join.link_documents(docs).where("doc_id % 100 = 0").collect()}
+    recall = sum(got.values()) / max(1, sum(want.values()))
+    print(f"recall of {sum(want.values())} links on sf0.1: {recall:.4f}")
+    assert recall >= 0.99 and all(got[i] <= n for i, n in want.items())
+
+
+def test_recall_at_the_threshold(make_docs, words):
+    """300 pairs between 0.8 and 0.82, the hardest that count."""
+    rng = random.Random(72)
+    rows = []
+    for k in range(300):
+        w = [rng.choice(words) for _ in range(304)]
+        v = list(w)
+        for at in rng.sample(range(4, 300), 7):
+            v[at] = "changed"
+        a, b = ({tuple(x[i : i + 5]) for i in range(300)} for x in (w, v))
+        at = 299
+        while len(a & b) < 0.8 * len(a | b):
+            v[at], at = w[at], at - 1
+            b = {tuple(v[i : i + 5]) for i in range(300)}
+        rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(v), "s")]
+    got = Counter(r.n_links for r in ngram_join.link_documents(make_docs(rows)).collect())
+    print(f"recall of 300 pairs at the threshold: {got[1] / 600:.4f}")
+    assert got[1] >= 0.99 * 600 and set(got) <= {0, 1}
+
+
 def test_one_of_each_stays(odd):
     kept = ngram_join.keep_one_of_each(odd)
     ids = [r.doc_id for r in kept.collect()]
