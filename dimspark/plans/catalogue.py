@@ -24,7 +24,7 @@ from dimspark.operators.frame import UnitFrame
 from dimspark.sources import files, provenance, tagging
 from dimspark.sources.storage import shared_folder
 from dimspark.streaming import windows
-from dimspark.streaming.stateful import apply_with_state
+from dimspark.streaming.stateful import apply_with_state, transform_with_state
 from dimspark.units import compose, default_registry, dims, registry_text
 from dimspark.units.boundary import check_boundary
 from dimspark.units.registry import Registry
@@ -720,6 +720,34 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, windowed, "update").groupBy("event_type").agg(F.max("most_kw").alias("most_kw"), F.max("n").alias("n"))
 
 
+@query("SELECT event_type, max(value) * 1000 AS most_kw, count(*) AS n FROM events GROUP BY event_type")
+def stream_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a processor with two states of its own."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Greatest(StatefulProcessor):
+        def init(self, handle):
+            self.most, self.n = handle.getValueState("most", "value double"), handle.getValueState("n", "value long")
+
+        def handleInputRows(self, key, rows, timers):
+            most, n = (self.most.get()[0], self.n.get()[0]) if self.most.exists() else (float("-inf"), 0)
+            for part in rows:
+                most, n = max(most, float(part["value"].max())), n + len(part)
+            self.most.update((most,))
+            self.n.update((n,))
+            yield pd.DataFrame({"event_type": [key[0]], "most_kw": [most], "n": [n]})
+
+        def close(self):
+            pass
+
+    def windowed(u: UnitFrame) -> DataFrame:
+        made = transform_with_state(u, ["event_type"], Greatest(), "event_type string, most_kw double, n long", {"most_kw": "MW"})
+        return made.convert({"most_kw": "kW"}).df
+
+    return _streamed(spark, sf_dir, windowed, "update").groupBy("event_type").agg(F.max("most_kw").alias("most_kw"), F.max("n").alias("n"))
+
+
 @query("SELECT event_id, event_type, value FROM events JOIN (SELECT DISTINCT event_type FROM events WHERE value > 300) USING (event_type)")
 def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     def windowed(u: UnitFrame) -> DataFrame:
