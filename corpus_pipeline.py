@@ -50,10 +50,22 @@ STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates",
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages applied to documents, one after the other.
+
+    folder: where stages are written, a new one in the shared folder unless named; with the folder of
+    a run that broke off, the run goes on after the last stage that was written whole. A stage's
+    rows are removed once the next ones are written.
+    """
+    folder = folder or f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [name for name, _ in STAGES[:-1]]
+    done = max((k for k, name in enumerate(names) if files.exists(hadoop(f"{folder}/{name}/_SUCCESS"))), default=-1)
+    docs = spark.read.parquet(f"{folder}/{names[done]}") if done >= 0 else read_table(spark, sf_dir, "documents")
+    for k in range(done + 1, len(names)):
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{names[k]}")
+        docs = spark.read.parquet(f"{folder}/{names[k]}")
+        if k:
+            files.delete(hadoop(f"{folder}/{names[k - 1]}"), True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from dimspark.sources.storage import shared_folder
+
 #: A word, as every contract on words defines it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch that Python objects are made of at a time, about.
@@ -19,14 +19,10 @@ SLICE_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only on a single machine where none is set, as in tests."""
+    """The shared checkpoint folder of the session, set from spark.checkpoint.dir where none is set yet."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="dimspark-checkpoint-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -78,6 +78,28 @@ def test_run_is_the_five_stages(spark, folder, fresh_ids):
     assert got == want and len(got) > 20
 
 
+def test_a_broken_run_goes_on(spark, folder, tmp_path, monkeypatch):
+    """After a stage that failed, the run begins there; what went before is not done again."""
+    where, _ = folder
+    calls = []
+
+    def counted(name, fn, fails):
+        def stage(spark, docs, sf_dir):
+            calls.append(name)
+            if fails and calls.count(name) == 1:
+                raise RuntimeError("an executor too many was lost")
+            return fn(spark, docs, sf_dir)
+
+        return name, stage
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(n, f, n == "line_dedup") for n, f in corpus_pipeline.STAGES])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, where, str(tmp_path / "run"))
+    pieces = corpus_pipeline.run(spark, where, str(tmp_path / "run")).count()
+    assert pieces and calls == ["quality", "line_dedup", "line_dedup", "near_duplicates", "mixing", "packing"]
+    assert sorted(f.name for f in (tmp_path / "run").iterdir()) == ["mixing"]
+
+
 def test_stages_keep_the_columns_of_documents(spark, folder):
     where, _ = folder
     docs = spark.read.parquet(f"{where}/documents.parquet")
