@@ -798,3 +798,6 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = windows.tumbling(u, "ts", "1 day", "event_type").agg(n=A.count()).df.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
     made.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+from dimspark.plans import answers  # noqa: E402, F401 - registers its queries here
