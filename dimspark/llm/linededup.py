@@ -36,7 +36,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 #: Keys in a shard of the filter, about.
 SHARD_KEYS = 200_000
 #: Shards at most (the driver holds two numbers for each); beyond it shards grow.
-MAX_SHARDS = 1 << 20
+MAX_SHARDS = 1 << 18
 
 
 def line_key(line: bytes, min_chars: int = 20) -> bytes | None:
@@ -165,13 +165,16 @@ def probe_shards(held: DataFrame, filters: DataFrame, n_shards: int, loads: Data
         for r in loads.collect():
             known[r["shard"]] = r["load"]
     share = (known + max(1.0, known.mean())) / (known.sum() + n_shards * max(1.0, known.mean()))
-    splits = np.ceil(share * int(spark.conf.get("spark.sql.shuffle.partitions"))).astype(int)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = np.ceil(share * wanted).astype(int)
     first = np.concatenate([[0], np.cumsum(splits)])
+    parts = int(first[-1])
+    place = F.floor(F.col("part").cast("long") * min(parts, wanted) / parts).cast("int")  # several small shards to a partition, one after the other
     table = F.broadcast(spark.createDataFrame([(k, int(first[k]), int(splits[k])) for k in range(n_shards)], "shard int, first int, splits int"))
     rows = held.withColumn("shard", shard_of(n_shards)).join(table, "shard").select((F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("splits"))).cast("int").alias("part"), "key", "doc_id", F.lit(None).cast("binary").alias("filter"))
     kind = held.schema["doc_id"].dataType
     copies = filters.join(table, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)).alias("part"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast(kind).alias("doc_id"), "filter")
-    dealt = rows.unionByName(copies).repartitionById(int(first[-1]), "part").sortWithinPartitions("part", F.col("filter").isNull())
+    dealt = rows.unionByName(copies).repartitionById(min(parts, wanted), place).sortWithinPartitions("part", F.col("filter").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, of = None, -1
