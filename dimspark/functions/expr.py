@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from functools import reduce
+from math import isfinite
 from typing import Any
 
 from pyspark.sql import Column
@@ -62,6 +63,17 @@ def _number_text(n: int, dialect: str) -> str:
     return repr(float(n)).upper().replace("E+", "E") + ("D" if dialect == "spark" else "")
 
 
+def native(text: str) -> Callable[[], Column]:
+    """A builder of one Spark SQL text: a few calls of the JVM, however many operations it has."""
+    build = lambda: F.expr(text)
+    build.text = text
+    return build
+
+
+def double_text(x: float) -> str:
+    return f"{repr(float(x)).upper()}D"
+
+
 @dataclass(frozen=True)
 class UExpr:
     """An expression of one unit; unit None: no claim about it."""
@@ -83,6 +95,19 @@ class UExpr:
     def column(self) -> Column:
         return self.build()
 
+    @property
+    def native(self) -> str | None:
+        """Spark SQL that says what `column` is, with its doubles written as such; None where there is no such text."""
+        return getattr(self.build, "text", None)
+
+    def _native_double(self) -> str | None:
+        text = self.native
+        return text if text is None or self.numeric in (None, "double") else f"CAST({text} AS DOUBLE)"
+
+    def _operated(self, op: str, other: UExpr, apply: Callable[[Column, Column], Column]) -> Callable[[], Column]:
+        a, b = self._native_double(), other._native_double()
+        return native(f"({a} {op} {b})") if a and b else lambda: apply(self._double(), other._double())
+
     @property
     def metadata(self) -> Metadata | None:
         return Metadata(self.unit, quantity=self.quantity, base=self.base, temporal=self.temporal) if self.unit_ else None
@@ -117,7 +142,11 @@ class UExpr:
             raise ValueError(f"no cast policy {policy!r}")
         if conversion.factor.ratio == 1 and not conversion.pi and not conversion.offset:
             return replace(self, unit_=target)
-        return replace(self, build=lambda: scaled(self._double(), conversion), sql=scaled_sql(self.sql, conversion), unit_=target, numeric="double")
+        return replace(self, build=self._scaled(conversion), sql=scaled_sql(self.sql, conversion), unit_=target, numeric="double")
+
+    def _scaled(self, conversion: Conversion) -> Callable[[], Column]:
+        text = self._native_double()
+        return native(scaled_native(text, conversion)) if text else lambda: scaled(self._double(), conversion)
 
     def _preserved(self, conversion: Conversion, target: CanonicalUnit, tolerance: float | None) -> UExpr:
         floating = self.numeric in (None, "double", "float")
@@ -128,7 +157,7 @@ class UExpr:
             self.context.warn("W_CAST_LOSSY", self.sql, f"{self.sql} is rounded within {self.numeric}, to a relative error of {tolerance:g} at most")
             return replace(self, build=lambda: F.round(scaled(self.column.cast("double"), conversion)).cast(self.numeric), sql=f"CAST(ROUND({scaled_sql(self.sql, conversion)}) AS {self.numeric})", unit_=target)
         if floating:
-            return replace(self, build=lambda: scaled(self._double(), conversion), sql=scaled_sql(self.sql, conversion), unit_=target)
+            return replace(self, build=self._scaled(conversion), sql=scaled_sql(self.sql, conversion), unit_=target)
         n, off = conversion.numerator, int(conversion.offset)
         return replace(self, build=lambda: (self.column * F.lit(n) + F.lit(off)).cast(self.numeric), sql=scaled_sql(self.sql, conversion), unit_=target)
 
@@ -158,7 +187,7 @@ class UExpr:
     def _combined(self, other: Any, sign: int) -> UExpr:
         right = other.in_unit(self.context, other.unit) if isinstance(other, Quantity) else self._other(other)
         op, text = ("*", lambda a, b: a * b) if sign > 0 else ("/", lambda a, b: a / b)
-        made = dict(build=lambda: text(self._double(), right._double()), sql=f"({self.sql} {op} {right.sql})", quantity=None, base=None, numeric="double", temporal=self._time(right))
+        made = dict(build=self._operated(op, right, text), sql=f"({self.sql} {op} {right.sql})", quantity=None, base=None, numeric="double", temporal=self._time(right))
         if self.unit_ is None or right.unit_ is None:
             self.context.taint(made["sql"], f"{made['sql']} has a side without a unit")
             return replace(self, unit_=None, **made)
@@ -220,7 +249,7 @@ class UExpr:
         if self.unit_ is None or b.unit_ is None:
             self.context.taint(sql, f"{sql} has a side without a unit")
             unit = None
-        build = (lambda: self._double() + b._double()) if op == "+" else (lambda: self._double() - b._double())
+        build = self._operated(op, b, (lambda x, y: x + y) if op == "+" else (lambda x, y: x - y))
         return replace(self, build=build, sql=sql, unit_=unit, quantity=self._kind(right, op), temporal=temporal, numeric="double")
 
     def _delta_added(self, right: UExpr) -> UExpr:
@@ -281,6 +310,8 @@ class UExpr:
         b = self.coerced(right, "compare")
         if (self.unit_ is None) != (right.unit_ is None) and isinstance(other, UExpr):
             self.context.taint(f"{self.sql} {op}", f"{self.sql} {op} {right.sql} compares a unit with none")
+        if self.native and b.native:
+            return F.expr(f"{self.native} {op} {b.native}")
         return apply(self.column, b.column)
 
     def __lt__(self, other: Any) -> Column:
@@ -352,6 +383,19 @@ def scaled(x: Column, c: Conversion) -> Column:
     return x
 
 
+def scaled_native(x: str, c: Conversion) -> str:
+    """`scaled` as Spark SQL."""
+    if c.numerator != 1:
+        x = f"{x} * {double_text(float(c.numerator))}"
+    x += " * pi()" * max(c.pi, 0)
+    if c.denominator != 1:
+        x += f" / {double_text(float(c.denominator))}"
+    x += " / pi()" * max(-c.pi, 0)
+    if c.offset:
+        x += f" + {double_text(as_float(c.offset))}"
+    return f"({x})"
+
+
 def scaled_sql(x: str, c: Conversion, dialect: str = "spark", pi: str = "pi()") -> str:
     parts = [x]
     if c.numerator != 1:
@@ -370,7 +414,7 @@ def column(context: Context, name: str, meta: Metadata | str | None = None, nume
     """A plain column, with what its tag says."""
     meta = Metadata(meta) if isinstance(meta, str) else meta
     quoted = name if _PLAIN_NAME.fullmatch(name) else "`" + name.replace("`", "``") + "`"
-    made = UExpr(context, lambda: F.col("`" + name.replace("`", "``") + "`"), quoted, numeric=numeric)
+    made = UExpr(context, native("`" + name.replace("`", "``") + "`"), quoted, numeric=numeric)
     if meta is None:
         return made
     try:
@@ -389,7 +433,9 @@ def literal(context: Context, value: Any, unit: str = "1") -> UExpr:
         return UExpr(context, lambda: value, "expression", context.registry.canonicalize(unit))
     exact = value if isinstance(value, Fraction) else Fraction(str(value))
     text = str(exact.numerator) if exact.denominator == 1 else repr(as_float(exact))
-    return UExpr(context, lambda: F.lit(as_float(exact)), text, context.registry.canonicalize(unit), numeric="double") if not isinstance(value, bool) else UExpr(context, lambda: F.lit(value), str(value))
+    if isinstance(value, bool):
+        return UExpr(context, lambda: F.lit(value), str(value))
+    return UExpr(context, native(double_text(as_float(exact))), text, context.registry.canonicalize(unit), numeric="double")
 
 
 @dataclass(frozen=True)
@@ -404,7 +450,7 @@ class Quantity:
         conversion = context.registry.conversion(self.unit, target)
         exact = conversion.apply_exact(Fraction(str(self.value)))
         number = as_float(exact) if exact is not None else conversion.apply(float(self.value))
-        return UExpr(context, lambda: F.lit(number), repr(number), context.registry.canonicalize(target), numeric="double")
+        return UExpr(context, native(double_text(number)) if isfinite(number) else lambda: F.lit(number), repr(number), context.registry.canonicalize(target), numeric="double")
 
 
 def q(value: Any, unit: str) -> Quantity:

@@ -55,8 +55,14 @@ def sum_(e: UExpr, exact_scale: int | None = None) -> Aggregate:
         raise UnitError("E_AFFINE_COMPOUND", f"positions on the scale of {e.unit} have no sum", symbol=e.unit)
     temporal = replace(e.temporal, statistic="sum") if e.temporal and e.temporal.kind == "interval" else e.temporal
     if exact_scale is None:
-        return Aggregate("sum", e, lambda: F.sum(e.column), replace(e, temporal=_longer(temporal)))
-    return Aggregate("sum", e, lambda: F.sum(e.column.cast(f"decimal(28,{exact_scale})")).cast("double"), replace(e, temporal=_longer(temporal)))
+        return Aggregate("sum", e, (lambda: F.expr(f"sum({e.native})")) if e.native else (lambda: F.sum(e.column)), replace(e, temporal=_longer(temporal)))
+    return Aggregate("sum", e, lambda: _exact_sum(e, exact_scale), replace(e, temporal=_longer(temporal)))
+
+
+def _exact_sum(e: UExpr, scale: int) -> Column:
+    if e.native:
+        return F.expr(f"CAST(sum(CAST({e.native} AS DECIMAL(28,{scale}))) AS DOUBLE)")
+    return F.sum(e.column.cast(f"decimal(28,{scale})")).cast("double")
 
 
 def _longer(t: Temporal | None) -> Temporal | None:
@@ -66,7 +72,7 @@ def _longer(t: Temporal | None) -> Temporal | None:
 
 def _keeping(name: str, fn: Callable[[Column], Column]) -> Callable[[UExpr], Aggregate]:
     def make(e: UExpr) -> Aggregate:
-        return Aggregate(name, e, lambda: fn(e.column), e)
+        return Aggregate(name, e, (lambda: F.expr(f"{name}({e.native})")) if e.native else (lambda: fn(e.column)), e)
 
     make.__name__ = name
     make.__doc__ = f"{name}, in the input's unit."
@@ -79,7 +85,13 @@ first, last, median = _keeping("first", F.first), _keeping("last", F.last), _kee
 
 def exact_mean(e: UExpr, scale: int) -> Aggregate:
     """The mean of decimals of so many places: the same whatever the partitioning."""
-    return Aggregate("avg", e, lambda: F.sum(e.column.cast(f"decimal(28,{scale})")).cast("double") / F.count(e.column).cast("double"), e)
+
+    def build() -> Column:
+        if e.native:
+            return F.expr(f"CAST(sum(CAST({e.native} AS DECIMAL(28,{scale}))) AS DOUBLE) / CAST(count({e.native}) AS DOUBLE)")
+        return F.sum(e.column.cast(f"decimal(28,{scale})")).cast("double") / F.count(e.column).cast("double")
+
+    return Aggregate("avg", e, build, e)
 
 
 def percentile(e: UExpr, p: float) -> Aggregate:
@@ -110,7 +122,9 @@ def _delta(e: UExpr):
 
 def count(e: UExpr | None = None) -> Aggregate:
     """How many: no claim about a unit."""
-    return Aggregate("count", e, lambda: F.count(e.column if e is not None else F.lit(1)), None)
+    if e is None or e.native:
+        return Aggregate("count", e, lambda: F.expr(f"count({e.native if e is not None else 1})"), None)
+    return Aggregate("count", e, lambda: F.count(e.column), None)
 
 
 def count_distinct(e: UExpr) -> Aggregate:

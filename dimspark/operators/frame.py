@@ -76,7 +76,7 @@ class UnitFrame:
     @staticmethod
     def _kept(name: str, pending: dict[str, dict]) -> Column | str:
         quoted = f"`{name}`"
-        return F.col(quoted).alias(name, metadata=pending[name]) if name in pending else quoted
+        return tagging.named(F.expr(quoted), name, pending[name]) if name in pending else quoted
 
     def __getitem__(self, name: str) -> UExpr:
         if name not in self.schema.names:
@@ -119,7 +119,7 @@ class UnitFrame:
         if isinstance(e, Column):
             return e.alias(name)
         meta = e.metadata
-        return e.column.alias(name, metadata={self.key: meta.to_json()} if meta else {})
+        return tagging.named(e.column, name, {self.key: meta.to_json()} if meta else {})
 
     # projection -----------------------------------------------------------
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -13,4 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return (named or tempfile.mkdtemp(prefix="dimspark-")).rstrip("/")
+    return (named or _private(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@cache
+def _private(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"dimspark-{application}-")
