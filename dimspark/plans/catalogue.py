@@ -126,13 +126,15 @@ def try_div_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value + (value * 2) / 1000 AS total FROM events")
 def add_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = events(spark, sf_dir, "MW").with_columns(small=events(spark, sf_dir, "kW")["value"] * 2)
+    u = events(spark, sf_dir, "MW")
+    u = u.with_columns(small=u.tag({"value": "kW"})["value"] * 2)
     return u.select("event_id", total=u["value"] + u["small"]).df
 
 
 @query("SELECT event_id, value - (value * 2) / 1000 AS total FROM events")
 def sub_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = events(spark, sf_dir, "MW").with_columns(small=events(spark, sf_dir, "kW")["value"] * 2)
+    u = events(spark, sf_dir, "MW")
+    u = u.with_columns(small=u.tag({"value": "kW"})["value"] * 2)
     return u.select("event_id", total=u["value"] - u["small"]).df
 
 
@@ -164,15 +166,15 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN value ELSE value * 1000 END AS power FROM events")
 def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = events(spark, sf_dir, "kW")
-    megawatts = events(spark, sf_dir, "MW")["value"]
+    megawatts = u.tag({"value": "MW"})["value"]
     return u.select("event_id", power=scalar.when(F.col("event_type") == "error", u["value"], megawatts)).df
 
 
 @query("SELECT event_id, round(sin(value * pi() / 180), 9) AS height, round(ln(value / 100), 9) AS logged, round(exp(value / 1000), 9) AS grown, round(atan2(value, 100.0), 9) AS angle FROM events")
 def transcendental_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of angles and of pure numbers; rounded, since libraries differ in the last digit."""
-    v, angle = events(spark, sf_dir, "m")["value"], events(spark, sf_dir, "deg")["value"]
     u = events(spark, sf_dir, "m")
+    v, angle = u["value"], u.tag({"value": "deg"})["value"]
     made = u.select("event_id", height=scalar.sin(angle.to("rad")), logged=scalar.log(v / q(100, "m")), grown=scalar.exp(v / q(1, "km")), angle=scalar.atan2(v, scalar.constant(v, 100, "m")))
     return made.df.select("event_id", *[F.round(c, 9).alias(c) for c in ("height", "logged", "grown", "angle")])
 
@@ -180,7 +182,7 @@ def transcendental_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE value END, value * 2 / 1000) AS power FROM events")
 def coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = events(spark, sf_dir, "MW")
-    small = events(spark, sf_dir, "kW")["value"] * 2
+    small = u.tag({"value": "kW"})["value"] * 2
     return u.select("event_id", power=scalar.coalesce(scalar.when(F.col("event_type") != "error", u["value"]), small)).df
 
 
