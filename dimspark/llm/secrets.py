@@ -20,6 +20,8 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +38,37 @@ KINDS: dict[str, tuple[str, int, int, str, bool]] = {
     "endpoint": (r"""(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+)|((?i:host|endpoint|server))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]+)""", 0, 6, "endpoint", True),
 }
 BASE = ("assign", "access", "hex")
+#: Kind: texts one of which stands, in either case, in every match; or else a simpler pattern that every match holds.
+HELD: dict[str, tuple[tuple[str, ...], str | None]] = {
+    "assign": (("passw", "secret", "token", "apikey", "api_key"), None),
+    "access": (("akia",), None),
+    "hex": ((), r"[0-9a-f]{24}"),
+    "identifier": (("clientid", "client_id", "keyid", "key_id", "accesskey", "access_key", "username", "user_name", "accountid", "account_id", "login"), None),
+    "candidate": (("pwd", "passphrase", "pass_phrase", "privatekey", "private_key", "credential", "auth"), r"[A-Za-z0-9+/]{40}"),
+    "endpoint": (("://", "host", "endpoint", "server"), None),
+}
+
 
+def _found(text: Column, lowered: Column, kind: str) -> Column:
+    """An array of (gap, length, good) for the matches of a kind: the gap before each, in code points; null without any.
 
-def _found(text: Column, kind: str) -> Column:
-    """An array of (gap, length, good) for the matches of a kind: the gap before each, in code points; null without any."""
+    The pattern itself runs only over texts that hold what every match holds.
+    """
+    names, simpler = HELD[kind]
+    may = reduce(Column.__or__, [F.contains(lowered, F.lit(n)) for n in names] + ([text.rlike(simpler)] if simpler else []))
     pattern, group, least, _, _ = KINDS[kind]
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     good = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= least)
     zipped = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, n: F.struct(g.alias("gap"), n.alias("length"))), good, lambda x, y: F.struct(x["gap"].alias("gap"), x["length"].alias("length"), y.alias("good")))
-    return F.when(text.rlike(pattern), zipped)
+    return F.when(may & text.rlike(pattern), zipped)
 
 
 def find_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key) and parts (key, kind, role, weak, start, end) of the texts."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    scanned = settle(docs.select(F.col(doc_id).alias("doc_id"), text_key(doc_id, text).alias("key"), *[_found(body, k).alias(k) for k in KINDS]))
+    body = docs.select(F.col(doc_id).alias("doc_id"), text_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    body = body.withColumn("lowered", F.lower("body"))
+    scanned = settle(body.select("doc_id", "key", *[_found(F.col("body"), F.col("lowered"), k).alias(k) for k in KINDS]))
     hits = scanned.where(" or ".join(f"`{k}` is not null" for k in KINDS)).drop("doc_id").dropDuplicates(["key"])
     listed = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(k).alias("kind"), F.col(k).alias("found")) for i, k in enumerate(KINDS)])
     each = hits.select("key", F.explode(listed).alias("k")).select("key", "k.order", "k.kind", F.posexplode("k.found").alias("i", "m"))

@@ -493,6 +493,49 @@ def test_secrets(spark, make_docs, odd_rows, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_every_match_holds_what_its_kind_needs():
+    """A text without those pieces has no match: on random texts of the patterns' own parts, in either case."""
+    rng = random.Random(91)
+    parts = ["pass", "word", "wd", "secret", "TOKEN", "api", "_", "key", "akia", "AKIA", "client", "id", "access", "user", "name", "account", "login", "Pwd", "phrase", "private", "credential", "auth", "://", "http", "host", "endpoint", "server", ":", "=", " ", "'", "0af3", "Zz9+/", "\n"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) * rng.choice((1, 1, 1, 12)) for _ in range(rng.randint(1, 12)))
+        for kind, (pattern, *_) in secrets.KINDS.items():
+            names, simpler = secrets.HELD[kind]
+            if re.search(pattern, t):
+                assert any(n in t.lower() for n in names) or (simpler and re.search(simpler, t)), (kind, t)
+
+
+def test_secrets_query(spark, tables, odd_rows):
+    got = secrets.op5_secret_scans(spark, tables).collect()
+    spec = (("assign", secrets.KINDS["assign"][0], lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24))
+    want = []
+    for i, t, _ in odd_rows:
+        found = sorted((m.start(), o, k, m.end()) for o, (k, p, ok) in enumerate(spec) for m in re.finditer(p, t or "") if ok(m))
+        n = Counter(k for _, _, k, _ in found)
+        want.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in found).encode()).hexdigest()))
+    assert pairs(tuple(r)[:5] for r in got) == pairs(want)
+
+
+def test_licenses_query(spark, tables, odd_rows):
+    got = licenses.op8_license_scans(spark, tables).collect()
+    assert pairs((r.doc_id, r.n_words, r.n_base, r.base_labels) for r in got) == pairs((i, len(licenses.words_of(t or "")), 0, "") for i, t, _ in odd_rows)
+
+
+def test_licenses_lower_case_a_to_z_alone(make_docs):
+    """A Kelvin sign is no k, and a capital beyond A-Z stays, in a text as in a template."""
+    template = (("own", "take the Émile license of Kelvin"),)
+    rows = [(1, "take the Émile license of kelvin", "s"), (2, "TAKE THE Émile LICENSE OF KELVIN", "s"), (3, "take the émile license of kelvin", "s"), (4, "take the Émile license of \u212aelvin", "s")]
+    assert {r.doc_id: r.labels for r in licenses.scan(make_docs(rows), template).collect()} == {1: "own", 2: "own", 3: "", 4: ""}
+
+
+def test_licenses_count_a_place_once(make_docs):
+    """Repeats of one gram beside each other are one place of a template; words in another order are not aligned."""
+    words = licenses.words_of(licenses.TEMPLATES[5][1])
+    rows = [(1, " ".join(words), "s"), (2, " ".join(words[:3] * 8), "s"), (3, " ".join(words[11:] + words[:11]), "s"), (4, " ".join([*words[:6], "with", "or", *words[6:]]), "s")]
+    found = {r.doc_id: r for r in licenses.scan(make_docs(rows)).collect()}
+    assert (found[1].labels, found[1].score) == ("bsd", 1.0) and found[2].labels == "" and found[2].score < 0.3 and found[3].labels == "" and found[4].labels == "bsd" and 0.75 <= found[4].score < 1
+
+
 def test_weak_parts_need_each_other(make_docs):
     weak = "A" * 20 + "b1" * 10
     far = " filler" * 200
@@ -501,6 +544,29 @@ def test_weak_parts_need_each_other(make_docs):
     assert kinds == {1: ["identifier", "candidate"], 2: [], 3: [], 4: [], 5: ["endpoint", "candidate"], 6: []}
 
 
+def brute_spans(text, reach=300):
+    """All spans that are reported: base ones, and weak ones near a complementary part."""
+    parts = []
+    for order, (kind, (pattern, group, least, role, weak)) in enumerate(secrets.KINDS.items()):
+        parts += [(m.start(), order, m.end(), kind, role, weak) for m in re.finditer(pattern, text) if len(m[group] or "") >= least]
+    strong = [p for p in parts if not p[5]]
+    taken = {(p[0], p[2]) for p in strong}
+
+    def near(p, o):
+        return (o[4] != "secret" if p[4] == "secret" else o[4] == "secret") and o[0] <= p[2] + reach and p[0] <= o[2] + reach
+
+    linked = [p for p in parts if p[5] and (p[0], p[2]) not in taken and any(near(p, o) for o in parts)]
+    return [(a, k, b) for a, _, b, k, _, _ in sorted(strong + linked)]
+
+
+def test_linked_parts_against_brute_force(make_docs):
+    rng = random.Random(92)
+    pieces = ["client_id=somebody ", "login: me77 ", "pwd=abcdefgh ", "passphrase: 'correct-horse' ", "https://host.example/x ", "server = db.internal ", "token=abcdefgh ", "AKIA" + "B" * 16 + " ", "A1b2" * 10 + " ", "0123456789abcdef01234567 ", "é", "\n"]
+    texts = ["".join(rng.choice(pieces) + "." * rng.choice((0, 3, 40, 150, 299, 301)) + " " for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    got = {r.doc_id: [(x["start"], x["kind"], x["end"]) for x in r.spans or []] for r in secrets.scan(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)} and sum(len(v) for v in got.values()) > 300
+
+
 def test_gaps_are_measured_between_the_ends_of_parts(make_docs):
     key, url = "private_key=" + "Zz9" * 150, "https://host.example/" + "q" * 1000
     gap = lambda n: " " + "." * (n - 2) + " "
@@ -779,6 +845,63 @@ def test_licenses(make_docs, odd_rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def brute_labels(text):
+    """The labels of a text by plain loops over words, templates and diagonals."""
+    w, found = licenses.words_of(text), {label for label, phrase in licenses.BASE.items() if f" {phrase} " in f" {' '.join(licenses.words_of(text))} "}
+    gram = lambda x, i: ("cc", "by") if x[i : i + 2] == ["cc", "by"] else tuple(x[i : i + 3]) if i + 3 <= len(x) else None
+    for label, body in licenses.TEMPLATES:
+        t = licenses.words_of(body)
+        n = len(t) - 2
+        diagonals = defaultdict(list)
+        for place in range(n):
+            for pos in range(len(w)):
+                if gram(w, pos) == gram(t, place):
+                    diagonals[pos - place].append((place, pos))
+        chains, last = [], None
+        for d in sorted(diagonals):
+            if last is None or d - last > licenses.SLACK:
+                chains.append([])
+            chains[-1] += diagonals[d]
+            last = d
+        for chain in chains:
+            at, aligned = (-1, -1), 0
+            for place, pos in sorted(chain):
+                if place > at[0] and pos > at[1]:
+                    at, aligned = (place, pos), aligned + 1
+            stretch = max(p for _, p in chain) - min(p for _, p in chain) + 3
+            if aligned >= (1.0 if n <= licenses.SHORT_GRAMS else licenses.LEAST_SHARE) * n and stretch <= len(t) * licenses.MOST_STRETCH + licenses.SLACK:
+                found.add(label)
+        tell = licenses.TELLING.get(label, ())
+        if n > licenses.SHORT_GRAMS or not tell or not set(tell) <= set(t):
+            continue
+        own = t.index(tell[0])
+        for anchor in (i for i, x in enumerate(w) if x == tell[0]):
+            begin = max(anchor - own - licenses.SLACK, 0)
+            hits = [[j for j in range(begin, min(len(w), anchor - own + len(t) + licenses.SLACK)) if w[j] == x and abs(j - (anchor - own) - i) <= licenses.SLACK] for i, x in enumerate(t)]
+            places = [j for h in hits for j in h]
+            if sum(map(bool, hits)) >= licenses.LEAST_SHARE * len(t) and all(hits[t.index(x)] for x in tell) and not set(w[min(places) : max(places) + 1]) & (set(licenses.OTHERS) - set(t)):
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_labels_against_brute_force(make_docs):
+    """Templates with words put in, left out, changed and moved, between other words."""
+    rng = random.Random(93)
+    texts = []
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            t = licenses.words_of(rng.choice(licenses.TEMPLATES)[1])
+            for _ in range(rng.choice((0, 0, 1, 2, 4))):
+                at = rng.randrange(len(t))
+                t = rng.choice((t[:at] + t[at + 1 :], [*t[:at], "qqq", *t[at:]], [*t[:at], "zzz", *t[at + 1 :]], t[at:] + t[:at], [*t[:at], rng.choice(licenses.OTHERS), *t[at:]])) or ["x"]
+            words += [*(["and"] * rng.randint(0, 4)), *t]
+        texts.append(" ".join(words))
+    got = {r.doc_id: r.labels for r in licenses.scan(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    wrong = {i: (got[i], brute_labels(t), t) for i, t in enumerate(texts) if got[i] != brute_labels(t)}
+    assert not wrong and sum(1 for x in got.values() if x) > 100
+
+
 def test_edited_short_licenses(make_docs):
     short = [(label, licenses.words_of(t)) for label, t in licenses.TEMPLATES if len(licenses.words_of(t)) - 2 <= licenses.SHORT_GRAMS]
     assert len(short) == 12
