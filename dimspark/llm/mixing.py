@@ -147,7 +147,8 @@ def plan_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float], sha
     places = block_places(blocks, plan, n_shards, seed)
     mixed = _join_sources(_ranked(docs, doc_id, text, source, seed), table, len(rows))
     places = F.broadcast(places) if len(rows) * BLOCKS * ROW_BYTES <= BROADCAST_BYTES else places
-    mixed = mixed.join(places, (F.col("__mix_id") == F.col("__mix_pid")) & (F.col("__mix_block") == F.col("__mix_pblock")), "left").drop("__mix_pid", "__mix_pblock")
+    mixed = mixed.join(places, F.col("__mix_id").cast("long") * BLOCKS + F.col("__mix_block") == F.col("__mix_place"), "left")
+    mixed = mixed.withColumn("__mix_shards", F.array("__mix_shard0", "__mix_shard1")).drop("__mix_place", "__mix_shard0", "__mix_shard1")
     low, part, c = low_bits(), F.col("__mix_part"), F.col
     earlier = (c("__mix_block") != c("__mix_at1")) | (part < c("__mix_at2")) | ((part == c("__mix_at2")) & (low < c("__mix_at3")))
     ends_here = (part == c("__mix_at2")) & (low == c("__mix_at3"))
@@ -157,7 +158,7 @@ def plan_mix(docs: DataFrame, weight_of: Callable[[int, str | None], float], sha
 
 
 def block_places(blocks: DataFrame, plan: pd.DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """(__mix_pid, __mix_pblock, __mix_shards): the shard of each drawn block, in either pass."""
+    """(__mix_place, __mix_shard0, __mix_shard1): the shard of each drawn block, in either pass; a place is source * BLOCKS + block."""
     spark = blocks.sparkSession
     ends = spark.createDataFrame([(int(r.id), int(r.full), int(r.at1)) for r in plan.itertuples()], "id int, full int, at1 int")
     ranked = settle(blocks.withColumn("rank", F.expr("row_number() over (partition by __mix_id order by __mix_block) - 1")).join(F.broadcast(ends), F.col("__mix_id") == F.col("id")).drop("id"))
@@ -177,7 +178,7 @@ def block_places(blocks: DataFrame, plan: pd.DataFrame, n_shards: int, seed: int
     drawn = drawn.join(F.broadcast(totals), F.col("pid") == F.col("tid")).select("shard", "pid", (F.col("draw") % F.col("n")).alias("drank"), F.floor(F.col("draw") / F.col("n")).cast("int").alias("pass"))
     placed = drawn.join(ranked, (F.col("pid") == F.col("__mix_id")) & (F.col("drank") == F.col("rank")))
     shard_in = lambda k: F.max(F.when(F.col("pass") == k, F.col("shard")))
-    return settle(placed.groupBy(F.col("pid").alias("__mix_pid"), F.col("__mix_block").alias("__mix_pblock")).agg(F.array(shard_in(0), shard_in(1)).alias("__mix_shards")))
+    return settle(placed.groupBy((F.col("pid").cast("long") * BLOCKS + F.col("__mix_block")).alias("__mix_place")).agg(shard_in(0).cast("int").alias("__mix_shard0"), shard_in(1).cast("int").alias("__mix_shard1")))
 
 
 def place(number: Column) -> Column:
