@@ -74,7 +74,12 @@ def _pure(name: str, fn: Callable[[Column], Column], taken: str) -> Callable[[UE
     return apply
 
 
-exp, log, log10 = _pure("exp", F.exp, "1"), _pure("ln", F.log, "1"), _pure("log10", F.log10, "1")
+def _ieee(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A logarithm that is -inf at 0 and NaN below; Spark's own are null there, as for a missing value."""
+    return lambda c: F.coalesce(fn(c), F.when(c == 0, float("-inf")).when(c < 0, float("nan")))
+
+
+exp, log, log10 = _pure("exp", F.exp, "1"), _pure("ln", _ieee(F.log), "1"), _pure("log10", _ieee(F.log10), "1")
 sin, cos, tan = _pure("sin", F.sin, "rad"), _pure("cos", F.cos, "rad"), _pure("tan", F.tan, "rad")
 
 

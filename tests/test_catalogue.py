@@ -4,10 +4,13 @@ import os
 import tomllib
 import warnings
 from fractions import Fraction
+from math import isnan
 
 import duckdb
 import pytest
 
+from dimspark.functions import scalar
+from dimspark.operators.frame import UnitFrame
 from dimspark.plans.catalogue import ORACLES, QUERIES
 from dimspark.units import registry_text
 
@@ -38,6 +41,19 @@ def test_query(spark, sf_dir, duck, name):
     assert rows(made.columns, got) == rows(want.columns, want.fetchall())
 
 
+def test_logarithms_at_and_below_zero(spark, tmp_path):
+    values = [0.0, -50.0, 50.0, 100.0, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "event_id long, value double")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    made, want = QUERIES["transcendental_functions"](spark, str(tmp_path)), con.sql(ORACLES["transcendental_functions"])
+    assert rows(made.columns, made.collect()) == rows(want.columns, want.fetchall())
+    u = UnitFrame.of(df).tag({"value": "1"})
+    logs = {r.event_id: r.x for r in u.select("event_id", x=scalar.log10(u["value"])).df.collect()}
+    assert logs[0] == float("-inf") and isnan(logs[1]) and logs[3] == 2 and isnan(logs[4]) and logs[7] is None
+
+
 def test_whole_registry_is_the_data_file(spark, sf_dir):
     data = tomllib.loads(registry_text())
     prefixes = dict(zip("Q R Y Z E P T G M k h da d c m u µ μ n p f a z y r q".split(), (30, 27, 24, 21, 18, 15, 12, 9, 6, 3, 2, 1, -1, -2, -3, -6, -6, -6, -9, -12, -15, -18, -21, -24, -27, -30)))
